@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, warc
+from . import chat, sharding, simhash, warc
 
 SHARDS = 40
 
@@ -27,6 +27,11 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": op1_rendezvous_shards,
         "op5_warc_round_trip": op5_warc_round_trip,
+        "op8_covering_simhash": op8_covering_simhash,
         "op10_chat_examples": op10_chat_examples,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, simhash, warc
+from . import chat, sharding, simhash, suffix, warc
 
 SHARDS = 40
 
@@ -32,6 +32,10 @@ def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), width=50, with_text=False)
+
+
 def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rendezvous_shards": op1_rendezvous_shards,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op8_covering_simhash": op8_covering_simhash,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_chat_examples": op10_chat_examples,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, simhash, suffix, warc
+from . import chat, packing, repetition, sharding, simhash, suffix, warc
 
 SHARDS = 40
 
@@ -27,6 +27,14 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "repeat_covered", "longest_repeat",
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -99,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": op1_rendezvous_shards,
         "op5_warc_round_trip": op5_warc_round_trip,
+        "op6_suffix_repetition": op6_suffix_repetition,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_covering_simhash": op8_covering_simhash,
         "op9_suffix_dedup": op9_suffix_dedup,

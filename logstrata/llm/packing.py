@@ -12,7 +12,6 @@ import math
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,22 +96,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     Only documents longer than capacity are cut; the first piece takes what is over, all others are full.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def each(texts: pd.Series) -> pd.Series:
         encode = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordTokenizer(tokenizer))
         end = np.array([EOS], "<u4").tobytes()
-        for x in batches:
-            rows = []
-            for doc, text in zip(x["doc_id"], x["_text"], strict=True):
-                data = memoryview(encode(text) + end)
-                n = len(data) // 4
-                at, size, k = 0, n % capacity or capacity, 0
-                while at < n:
-                    rows.append((doc, k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])))
-                    at, size, k = at + size, capacity, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    return rows.mapInPandas(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        out = []
+        for text in texts:
+            data = memoryview(encode(text) + end)
+            n = len(data) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            out.append(
+                [
+                    {"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(data[4 * a : 4 * b])}
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
+                ]
+            )
+        return pd.Series(out)
+
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(each(text_or_empty())).alias("p"))
+    return cut.select("doc_id", "p.*")
 
 
 @dataclass
@@ -235,18 +237,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Dat
     numbered = number_within(rows, "length", block, ["doc_id", "piece", "ids_crc32"], "nth")
     shared = docs.sparkSession.sparkContext.broadcast(places)  # bounded by the capacity, not by the documents
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, nth: pd.Series) -> pd.DataFrame:
         p = shared.value
         wide = np.int64(1 << 44)
-        keys = p["length"] * wide + p["first"]
-        for x in batches:
-            n, nth = x["length"].to_numpy(), x["nth"].to_numpy()
-            at = np.searchsorted(keys, n * wide + nth, "right") - 1
-            bin_, slot = np.divmod(nth - p["first"][at], p["each"][at])
-            x["sequence_id"] = p["base"][at] + bin_
-            x["offset"] = p["offset"][at] + slot * n
-            yield x.drop(columns="nth").astype({"doc_id": "Int64"})
-
-    return numbered.mapInPandas(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+        n, i = length.to_numpy(), nth.to_numpy()
+        at = np.searchsorted(p["length"] * wide + p["first"], n * wide + i, "right") - 1
+        bin_, slot = np.divmod(i - p["first"][at], p["each"][at])
+        return pd.DataFrame({"sequence_id": p["base"][at] + bin_, "offset": p["offset"][at] + slot * n})
+
+    placed = numbered.withColumn("_place", place("length", "nth"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset")

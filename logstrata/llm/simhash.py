@@ -54,14 +54,11 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) of whole texts; fp holds the 64 bits as a signed long. A null text has no words."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            fp = np.fromiter((_signed(fingerprint(t, shingle)) for t in x["_text"]), np.int64, len(x))
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fp})
+    @F.pandas_udf("long")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((_signed(fingerprint(t, shingle)) for t in texts), np.int64, len(texts)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInPandas(
-        each, "doc_id long, fp long"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(text_or_empty()).alias("fp"))
 
 
 def covering_masks(radius: int) -> list[int]:

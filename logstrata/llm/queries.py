@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, repetition, sharding, simhash, suffix, warc
+from . import chat, mixing, packing, pivots, repetition, sharding, simhash, suffix, warc
 
 SHARDS = 40
 
@@ -22,6 +22,16 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_documents(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("copies") * F.col("size")).cast("long")
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies", "shards")
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.warc_round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -106,6 +116,8 @@ FROM s GROUP BY conv_id"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": op1_rendezvous_shards,
+        "op2_pivot_permutations": op2_pivot_permutations,
+        "op3_mix_sources": op3_mix_sources,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op6_suffix_repetition": op6_suffix_repetition,
         "op7_best_fit_packing": op7_best_fit_packing,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pivots, repetition, sharding, simhash, suffix, warc
+from . import chat, mixing, packing, pii, pivots, repetition, sharding, simhash, suffix, warc
 
 SHARDS = 40
 
@@ -32,6 +32,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies", "shards")
 
 
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.write_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.write_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.warc_round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -118,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rendezvous_shards": op1_rendezvous_shards,
         "op2_pivot_permutations": op2_pivot_permutations,
         "op3_mix_sources": op3_mix_sources,
+        "op4_contextual_pii": op4_contextual_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op6_suffix_repetition": op6_suffix_repetition,
         "op7_best_fit_packing": op7_best_fit_packing,

@@ -355,8 +355,8 @@ def kv_node_rollup(s, d):
     return statistics.rollup(log1(s, d).withColumn("node_id", maintenance.route(F.col("key"), EDGES)))
 
 
-@query(_NODES + """ SELECT round(sum(bytes) FILTER (node_id = 0), 3) AS root_bytes, round(sum(bytes) FILTER (node_id <> 0), 3) AS leaf_bytes,
-  round(sum(bytes) / sum(CASE WHEN node_id <> 0 THEN bytes * uniq / keys ELSE 0 END), 6) AS samp FROM n""")
+@query(_NODES + """ SELECT round(coalesce(sum(bytes) FILTER (node_id = 0), 0), 3) AS root_bytes, round(coalesce(sum(bytes) FILTER (node_id <> 0), 0), 3) AS leaf_bytes,
+  round(sum(bytes) / nullif(sum(CASE WHEN node_id <> 0 THEN bytes * uniq / keys ELSE 0 END), 0), 6) AS samp FROM n""")
 def kv_space_amp(s, d):
     found = statistics.space_amplification(nodes(s, d).withColumn("is_root", F.col("node_id") == 0))
     return found.select(F.round("root_bytes", 3).alias("root_bytes"), F.round("leaf_bytes", 3).alias("leaf_bytes"), F.round("samp", 6).alias("samp"))

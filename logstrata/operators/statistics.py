@@ -29,7 +29,7 @@ def rollup(log: DataFrame, node: str = "node_id", run: str = "run_id") -> DataFr
 
 
 def space_amplification(nodes: DataFrame) -> DataFrame:
-    """(leaf + root bytes) / good leaf bytes, where all of the root counts as garbage.
+    """(leaf + root bytes) / good leaf bytes, where all of the root counts as garbage; null without good bytes.
 
     nodes: is_root, bytes, keys, uniq. A leaf's good share is its unique keys over all.
     """
@@ -37,7 +37,7 @@ def space_amplification(nodes: DataFrame) -> DataFrame:
     good = F.when(~root & (F.col("keys") > 0), leaf * F.col("uniq") / F.col("keys")).otherwise(0.0)
     return nodes.agg(
         F.sum(F.when(root, leaf).otherwise(0.0)).alias("root_bytes"), F.sum(F.when(~root, leaf).otherwise(0.0)).alias("leaf_bytes"), F.sum(good).alias("good_bytes")
-    ).withColumn("samp", (F.col("root_bytes") + F.col("leaf_bytes")) / F.col("good_bytes"))
+    ).withColumn("samp", F.try_divide(F.col("root_bytes") + F.col("leaf_bytes"), F.col("good_bytes")))
 
 
 def distinct_keys(log: DataFrame, by: str, precision: int = 14) -> DataFrame:
@@ -59,6 +59,6 @@ def rate(rows: DataFrame, ts: str, by: str, every: str = "hour") -> DataFrame:
 
 def profile(rows: DataFrame, value: str, by: str) -> DataFrame:
     """Mean, deviation and a load class by their ratio."""
-    ratio = F.stddev_pop(value) / F.avg(value)
+    ratio = F.try_divide(F.stddev_pop(value), F.avg(value))
     load = F.when(ratio < 0.5, "light").when(ratio < 1.0, "medium").otherwise("heavy")
     return rows.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("deviation"), load.alias("load"))

@@ -9,8 +9,8 @@ their length, and a number tells a piece's place in the plan.
 from __future__ import annotations
 
 import math
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -27,22 +27,42 @@ CACHE_WORDS = 400_000
 BLOCK_ROWS = 1000
 
 
+class _Words(dict):
+    """Ids of words in two generations; None for a word that cannot be encoded by itself."""
+
+    def __init__(self, encode, special: list[str]):
+        super().__init__()
+        self.encode, self.special, self.old = encode, special, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if word in self.old:
+            ids = self.old[word]
+        else:
+            # White space at a word's end would stand beside the character that parts it from the next one.
+            core = word[1:] if word[:1] == "\n" else word
+            alone = core and core == core.strip() and not any(x in word for x in self.special)
+            ids = self.encode(word if word[:1] == "\n" else " " + word) if alone else None
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit words, remembering the ids of words.
 
-    The byte-level pattern never joins what a single white-space character between two others parts, so a text
-    without two such characters in a row is the chain of its words; any other text is encoded as a whole.
+    The byte-level pattern never joins what a single space or line end between two other characters parts, so a text
+    without two white-space characters in a row is the chain of its words; any other text is encoded as a whole.
     """
 
-    _RUNS = re.compile(r"\s\s|^\s|\s\Z")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.fast = self._ranked(path)
+        self.words = _Words(self._encode, self.special) if self.fast and not any(x.split() != [x] for x in self.special) else None
 
     @staticmethod
     def _ranked(path: str):
@@ -69,22 +89,20 @@ class WordTokenizer:
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, text: str) -> bytes:
-        if self.fast is not None and not any(s in text for s in self.special):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.fast is not None and not any(x in text for x in self.special):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._RUNS.search(text) or any(s in text for s in self.special):
+        if self.words is None:
             return self._encode(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = self.words
-        for w in set(rest).difference(words):
-            words[w] = self._encode(w if w[:1] == "\n" else " " + w)
-        return b"".join([self._encode(first), *[words[w] for w in rest]])
+        if not first or first != first.strip():
+            return self._encode(text)
+        try:
+            return b"".join([self._encode(first), *map(self.words.__getitem__, rest)])
+        except TypeError:  # a word that has no ids by itself
+            return self._encode(text)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -21,14 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Five words make a shingle. Fingerprints of texts with a similarity of 0.8 or more differ in few bits.
+    A fingerprint of two-word shingles proposes, the five-word shingles decide.
     """
-    found = simhash.near_duplicates(docs, radius=4, shingle=5)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    # Rows that repeat a doc_id are one document; any of them stays.
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id")
+    # Rows that repeat a doc_id are one document, and any of them stays; rows without one are left alone.
+    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,11 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_or_empty
+from .common import broadcast_if_small, connected_components, materialize, text_or_empty
 
 SEED = 42
 #: Fingerprints of one key that meet in one task; a larger group is split into blocks, and each two blocks meet.
 BLOCK = 1024
+#: The same for documents whose shingles are compared.
+VERIFIED = 256
 _STEP = 1 << 16
 
 
@@ -134,7 +136,8 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = groups.where("n = 2").where(distance <= radius).select("a", "b")
     larger = groups.where("n > 2").select("table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = keys.join(larger, ["table", "key"])
+    # The groups of three or more are few, three numbers each; beyond the bound the join is a shuffled one.
+    rows = keys.join(broadcast_if_small(materialize(larger, "larger"), 400_000), ["table", "key"])
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -169,5 +172,94 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Ascending distinct hashes of the lower-cased text's word shingles; one shingle if there are few words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], np.uint64))
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Matrix of which sets have at least this Jaccard similarity."""
+    size = np.array([len(x) for x in sets], np.float64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    shared = np.zeros((len(sets), len(sets)))
+    step = 4096
+    for a in range(0, int(ids[-1]) + 1 if len(ids) else 0, step):
+        i, j = np.searchsorted(ids, (a, a + step))
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[i:j], ids[i:j] - a] = 1
+        shared += part @ part.T
+    both = size[:, None] + size[None, :] - shared
+    return (both > 0) & (shared >= similarity * both - 1e-9)
+
+
+def _verify_sorted(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by component, i and j; edges join each member to the least of those it is similar to, directly or not."""
+    rest = None
+
+    def stars(x: pd.DataFrame) -> pd.DataFrame:
+        near = similar_pairs([np.frombuffer(b, np.uint64) for b in x["shingles"]], similarity)
+        ids = x["doc_id"].to_numpy()
+        label = np.arange(len(ids))
+        while True:
+            new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
+
+    for x in batches:
+        x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+        if not len(x):
+            continue
+        part = x[["component", "i", "j"]].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]).any(axis=1))))
+        for a, b in zip(first, first[1:], strict=False):
+            yield stars(x.iloc[a:b])
+        rest = x.iloc[first[-1] :]
+    if rest is not None and len(rest):
+        yield stars(rest)
+
+
+def similar_documents(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Components of documents whose sets of `width`-word shingles have at least this Jaccard similarity.
+
+    Fingerprints of short shingles, which a changed word disturbs least, propose components by covering tables; inside these, sets of
+    shingles decide, exactly. Every link is a true one; pairs whose fingerprints differ in more than `radius` bits are
+    only found by way of others. Returns doc_id, component_id (smallest doc_id reachable). Equal texts are one class. Nulls, repeats
+    and empty tables are as in near_duplicates; a null doc_id is its own.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    proposed = near_duplicates(named, radius, shingle).select("doc_id", F.col("component_id").alias("component")).distinct()
+    text = text_or_empty()
+    hashed = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k"))
+    rows = materialize(hashed.join(proposed, "doc_id"), "proposed")
+    classes = materialize(rows.groupBy("component", "h", "k").agg(F.min("doc_id").alias("first")), "texts")
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = classes.join(sizes, "component").select("component", F.col("first").alias("doc_id"), F.ceil(F.col("n") / VERIFIED).cast("int").alias("blocks"))
+
+    @F.pandas_udf("binary")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, width).tobytes() for t in texts])
+
+    members = materialize(members, "members")
+    sets = named.join(members, "doc_id").dropDuplicates(["doc_id"]).select("component", "doc_id", "blocks", shingled(text).alias("shingles"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    columns = ["component", "i", "j"]
+    spread = sets.select("component", F.explode(meets).alias("at"), "doc_id", "shingles").select("component", "at.i", "at.j", "doc_id", "shingles")
+    found = spread.repartition(*columns).sortWithinPartitions(*columns, "doc_id").mapInPandas(lambda it: _verify_sorted(it, similarity), "a long, b long")
+    roots = connected_components(found, "a", "b")
+    told = classes.join(roots, F.col("first") == F.col("node"), "left").select("component", "h", "k", F.coalesce("root", "first").alias("component_id"))
+    least = rows.join(materialize(told, "told"), ["component", "h", "k"]).select("doc_id", "component_id")
+    return least.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -483,3 +483,37 @@ def test_chat_round_trip(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert shown[c] == sum(x[1] == "assistant" for x in ts) + (ts[-1][1] != "assistant")
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_similar_documents_are_truly_similar(spark, docs, empty):
+    rng = random.Random(21)
+    base = [[f"v{rng.randrange(900)}" for _ in range(200)] for _ in range(10)]
+    rows = []
+    for i in range(120):
+        words = list(base[i % 10])
+        for _ in range(rng.choice([0, 1, 2, 5, 20])):
+            words[rng.randrange(200)] = "edited"
+        rows.append((1000 + i, " ".join(words)))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    for block in (256, 3):
+        simhash.VERIFIED = block
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+        texts = {r[0]: r[1] or "" for r in df.collect() if r[0] is not None}
+        assert found.keys() == texts.keys()
+        sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+        like = lambda a, b: texts[a] == texts[b] or (sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))  # noqa: E731, B023
+        groups = defaultdict(list)
+        for i, c in found.items():
+            groups[c].append(i)
+        for c, members in groups.items():
+            seen, todo = {c}, [c]
+            while todo:
+                x = todo.pop()
+                new = [y for y in members if y not in seen and like(x, y)]
+                seen.update(new)
+                todo += new
+            assert seen == set(members) and c == min(members)
+        pairs = [(a, b) for a in range(1000, 1120) for b in range(1000, a) if like(a, b)]
+        assert sum(found[a] == found[b] for a, b in pairs) > 0.9 * len(pairs)
+    simhash.VERIFIED = 256
+    assert simhash.similar_documents(empty).count() == 0

@@ -71,18 +71,18 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of edges; root is the least node of its component.
 
     Alternates large-star and small-star steps until only stars are left; each step writes its edges to the
-    shared folder. Minima are grouped with partial aggregation, and both sides of a step's join come from
-    tables, so that a hub with most of the edges can be split.
+    shared folder. Minima are grouped with partial aggregation. A step joins few of them by a broadcast; otherwise both
+    sides of its join come from tables, so that a hub with most of the edges can be split.
     """
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = materialize(links, "links")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(broadcast_if_small(least), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        near = large.join(least, "u")
+        near = large.join(broadcast_if_small(least), "u")
         small = near.select("u", F.col("m").alias("v")).unionByName(
             near.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         )

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.keys import decimal_key
+from .functions.keys import decimal_key, u64_key
+from .functions.placement import PLACES, POLICIES, policies
 from .operators import maintenance, reads, statistics, transactions
 from .plans.builders import committed, prefix_tombstones, visible
 
@@ -477,6 +478,62 @@ def kv_catalog_compaction(s, d):
     return compact_catalog(table(s, d, "events"), "event_type", "event_id").select("event_type", "event_id", "value")
 
 
+@query(f"""WITH {E2}, {newest_sql()}, p AS (SELECT key AS prefix, max(seqno) AS pt FROM l WHERE vtype = 'PT' GROUP BY 1), {_PROBE_KEYS}
+SELECT k.key, CASE WHEN pt IS NOT NULL AND (n.seqno IS NULL OR pt > n.seqno) THEN 'FOUND_PTMB' WHEN vtype = 'T' THEN 'FOUND_TMB' WHEN vtype = 'V' THEN 'FOUND_VAL'
+  ELSE 'NOT_FOUND' END AS status FROM k LEFT JOIN n ON n.key = k.key LEFT JOIN p ON prefix = left(k.key, {PFX})""")
+def kv_debug_get(s, d):
+    return reads.debug_get(log2(s, d), probe_keys(s, d), pfx_len=PFX)
+
+
+@query(LIVE + "SELECT * FROM v WHERE key >= '0000000020' ORDER BY key LIMIT 42")
+def kv_range_read(s, d):
+    """A range of 42 keys from a start, as a cursor reads it."""
+    return reads.range_scan(log1(s, d), "0000000020").orderBy("key").limit(42).select(*KVS)
+
+
+@query(LIVE + "SELECT * FROM v")
+def kv_multicursor(s, d):
+    """Several range cursors that together cover all keys."""
+    log, bounds = log1(s, d), ["0000000030", "0000000060", None]
+    out, low = None, None
+    for high in bounds:
+        part = reads.range_scan(log, low, high, closed=False).select(*KVS)
+        out, low = part if out is None else out.unionByName(part), high
+    return out
+
+
+@query("""SELECT hex(l_orderkey % 97) AS pfx, least(count(DISTINCT (l_orderkey, l_linenumber)), 2)::BIGINT AS cnt FROM lineitem GROUP BY 1""")
+def kv_pfx_probe_triples(s, d):
+    """Probes over keys of three big-endian 64-bit segments."""
+    key = u64_key(F.col("l_orderkey") % 97, F.col("l_orderkey"), F.col("l_linenumber"))
+    li = table(s, d, "lineitem").select(
+        key.alias("key"), F.lit(1).cast("long").alias("seqno"), F.col("l_linenumber").alias("ord"), F.lit("V").alias("vtype"), F.col("l_quantity").alias("value")
+    )
+    found = reads.prefix_probe(li, 8)
+    return found.select(F.expr("hex(conv(hex(prefix), 16, 10)::bigint)").alias("pfx"), "cnt")
+
+
+_CUT = "(SELECT max(event_id) // 10 * 10 - 200 FROM events)"
+
+
+@query(f"""SELECT lpad(event_id::VARCHAR, 10, '0') AS key, value FROM events WHERE event_id >= {_CUT} ORDER BY key LIMIT {TOP}""")
+def kv_capped_tail(s, d):
+    """A capped store: append, delete the prefixes at its head, and read on from a place that is gone by then."""
+    e, cut = table(s, d, "events"), top_seqno(s, d) // 10 * 10 - 200
+    key, last = decimal_key(F.col("event_id")), F.lit(top_seqno(s, d))
+    log = e.select(key.alias("key"), F.col("event_id").alias("seqno"), F.col("event_id").alias("ord"), F.lit("V").alias("vtype"), "value")
+    head = e.where(F.col("event_id") < cut).select(F.substring(key, 1, PFX).alias("key")).distinct()
+    head = head.select("key", (last + 1).alias("seqno"), (last + 1).alias("ord"), F.lit("PT").alias("vtype"), F.lit(None).cast("double").alias("value"))
+    return reads.resume(log.unionByName(head), f"{cut - 100:010d}", TOP, pfx_len=PFX).select("key", "value")
+
+
+@query("SELECT age, dtype, media, count(*) AS n FROM (VALUES " + ", ".join(
+    f"('{a}', '{t}', '{m}')" for kinds in POLICIES.values() for (a, t), m in zip(PLACES, kinds, strict=True)
+) + ") AS p(age, dtype, media) GROUP BY 1, 2, 3")
+def kv_placement(s, d):
+    return policies(s).groupBy("age", "dtype", "media").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _FOUND.items()}
 

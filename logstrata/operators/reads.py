@@ -117,3 +117,13 @@ def view_diff(log: DataFrame, before: int, after: int) -> DataFrame:
     )
     old, new = F.when(live("a"), F.col("a.value")), F.when(live("b"), F.col("b.value"))
     return both.select(*by, change.alias("change"), old.alias("old_value"), new.alias("new_value")).where("change IS NOT NULL")
+
+
+def debug_get(log: DataFrame, keys: DataFrame, view: int | None = None, pfx_len: int = 0) -> DataFrame:
+    """How each key is answered: a value, a tombstone, a prefix tombstone, or nothing."""
+    newest_ = versions(log, view).select("key", "vtype", "seqno")
+    pts = prefix_tombstones(log, view).select("prefix", "pt_seq")
+    joined = keys.join(newest_, "key", "left").join(pts, F.substring("key", 1, pfx_len) == F.col("prefix"), "left")
+    hidden = F.col("pt_seq").isNotNull() & (F.col("seqno").isNull() | (F.col("pt_seq") > F.col("seqno")))
+    status = F.when(hidden, "FOUND_PTMB").when(F.col("vtype") == "T", "FOUND_TMB").when(F.col("vtype") == "V", "FOUND_VAL")
+    return joined.select(*keys.columns, F.coalesce(status, F.lit("NOT_FOUND")).alias("status"))

@@ -46,7 +46,8 @@ _MUL = _RNG.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
 # Packed arrays: a list of arrays goes over the wire as one compressed value.
 def pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
+    # Numbers go byte by byte, so that their high bytes compress; texts go as they are.
+    planes = [a.tobytes() if a.dtype.itemsize > 8 else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
     return zstandard.compress(b"".join([sizes.tobytes(), *planes]), 1)
 
 
@@ -55,9 +56,8 @@ def unpack(data: bytes, *types: type) -> list[np.ndarray]:
     count = int(np.frombuffer(raw, np.int64, 1)[0])
     at, out = 8 * (count + 1), []
     for n, t in zip(np.frombuffer(raw, np.int64, count, 8).tolist(), types, strict=True):
-        item = np.dtype(t).itemsize
-        planes = np.frombuffer(raw, np.uint8, n, at).reshape(item, -1)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
+        item, part = np.dtype(t).itemsize, np.frombuffer(raw, np.uint8, n, at)
+        out.append((part if item > 8 else np.ascontiguousarray(part.reshape(item, -1).T).reshape(-1)).view(t))
         at += n
     return out
 
@@ -128,6 +128,37 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) ->
     return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
+def row_width(width: int, gram: int) -> int:
+    """Bytes for a context and its size, a multiple of 8."""
+    return (2 * width - gram + 8) // 8 * 8
+
+
+def distinct_rows(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index of each distinct (key, row), by key, and which of them each row is. rows: bytes, a multiple of 8 wide."""
+    words = rows.view(np.uint64).reshape(len(rows), rows.shape[1] // 8)
+    h = key.copy()
+    for j in range(words.shape[1]):
+        h = h * _MUL[0] + words[:, j]
+    h = _mix(h)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    again = np.flatnonzero(~new)
+    a, b = order[again], order[again - 1]
+    if len(again) and not ((words[a] == words[b]).all() and (key[a] == key[b]).all()):  # two rows share a hash
+        whole = np.ascontiguousarray(np.concatenate([key.astype(">u8")[:, None].view(np.uint8), rows], axis=1))
+        void = whole.view(np.dtype((np.void, whole.shape[1]))).reshape(-1)
+        _, where, which = np.unique(void, return_index=True, return_inverse=True)
+        return where, which
+    where = order[new]
+    by_key = np.argsort(key[where], kind="stable")
+    place = np.empty(len(where), np.int64)
+    place[by_key] = np.arange(len(where))
+    which = np.empty(len(h), np.int64)
+    which[order] = place[np.cumsum(new) - 1]
+    return where[by_key], which
+
+
 class Chunk:
     """Documents of one chunk in one buffer, ordered by id and text."""
 
@@ -140,7 +171,7 @@ class Chunk:
                 docs.append((i, raw[at : at + n]))
                 at += n
         docs.sort()
-        self.width = width
+        self.width, self.wide = width, row_width(width, gram)
         self.ids = np.array([i for i, _ in docs], np.int64)
         self.data = np.frombuffer(b"".join(d for _, d in docs), np.uint8)
         self.ends = np.cumsum([len(d) for _, d in docs], dtype=np.int64)
@@ -161,16 +192,16 @@ class Chunk:
         """Distinct contexts of the runs whose anchors are repeated: hash, text, smallest id, and the runs of each."""
         self.run = np.flatnonzero(np.isin(self.hash, elsewhere) | np.isin(self.hash, self.repeated_here()))
         first, size = self.first[self.run], self.last[self.run] - self.first[self.run] + self.width
-        most = int(size.max(initial=self.width))
-        column = np.arange(most)
-        rows = np.zeros((len(first), most + 9), np.uint8)
-        inside = column < size[:, None]
-        rows[:, :most][inside] = self.data[(first[:, None] + column)[inside]]
-        rows[:, most] = size
-        rows[:, most + 1 :] = self.hash[self.run].astype(">u8").view(np.uint8).reshape(-1, 8)
-        keys = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).reshape(-1)
-        _, where, self.context = np.unique(keys, return_index=True, return_inverse=True)
-        self.rows, self.size, self.key = rows[where, :most], size[where], self.hash[self.run][where]
+        # A row is a context, padded, with its size as the last byte.
+        wide = self.wide
+        column = np.arange(wide - 1)
+        padded = np.concatenate([self.data, np.zeros(wide, np.uint8)])
+        rows = np.zeros((len(first), wide), np.uint8)
+        rows[:, :-1] = padded[first[:, None] + column]
+        rows[:, :-1] *= column < size[:, None]
+        rows[:, -1] = size
+        where, self.context = distinct_rows(rows, self.hash[self.run])
+        self.rows, self.size, self.key = rows[where], size[where], self.hash[self.run][where]
         ids = self.ids[self.doc(first)]
         self.least = np.full(len(where), _NO_ID)
         np.minimum.at(self.least, self.context, ids)
@@ -338,24 +369,19 @@ def window_answers(texts: DataFrame, anchors: DataFrame, chunks: int, width: int
             return pd.DataFrame({"bucket": [], "chunk": [], "data": []})
         c = _with_contexts(x, replies, width, gram)
         n = len(c.key)
-        rows = np.zeros((n, 2 * width - gram), np.uint8)
-        rows[:, : c.rows.shape[1]] = c.rows
-        void = rows.view(np.dtype((np.void, rows.shape[1]))).reshape(-1) if n else np.empty(0, np.dtype((np.void, rows.shape[1])))
+        void = c.rows.reshape(-1).view(np.dtype((np.void, c.wide)))
         return _dealt(
             _bucket(c.key, chunks), x["chunk"].iat[0], chunks,
             [c.key, np.arange(n), c.size, c.least, c.times, void],
         )
 
     def meet(x: pd.DataFrame) -> pd.DataFrame:
-        void = np.dtype((np.void, 2 * width - gram))
-        parts = [unpack(d, np.uint64, np.int64, np.int64, np.int64, np.int64, void) for d in x["data"]]
+        wide = row_width(width, gram)
+        parts = [unpack(d, np.uint64, np.int64, np.int64, np.int64, np.int64, np.dtype((np.void, wide))) for d in x["data"]]
         chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         key, index, size, least, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        rows = np.concatenate([p[5] for p in parts]).view(np.uint8).reshape(len(key), -1)
-        whole = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), rows, size[:, None].astype(np.uint8)], axis=1)
-        _, where, same = np.unique(
-            np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).reshape(-1), return_index=True, return_inverse=True
-        )
+        rows = np.concatenate([p[5].view(np.uint8) for p in parts]).reshape(len(key), wide)
+        where, same = distinct_rows(rows, key)
         smallest = np.full(len(where), _NO_ID)
         np.minimum.at(smallest, same, least)
         # Distinct contexts stand by key, so those of one anchor are neighbours.

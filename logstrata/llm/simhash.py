@@ -8,6 +8,7 @@ pair within the radius is found, not only most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import broadcast_if_small, connected_components, materialize, text_
 SEED = 42
 #: Fingerprints of one key that meet in one task; a larger group is split into blocks, and each two blocks meet.
 BLOCK = 1024
+#: Rows of keys that one task makes.
+KEYS_A_TASK = 1_000_000
 #: The same for documents whose shingles are compared.
 VERIFIED = 256
 _STEP = 1 << 16
@@ -70,6 +73,9 @@ def covering_masks(radius: int) -> list[int]:
 
 
 def _keys(classes: DataFrame, radius: int) -> DataFrame:
+    # A few bytes become a row for each table, so the fingerprints are dealt out by what they become.
+    rows = classes.count() << (radius + 1)
+    classes = classes.repartition(math.ceil(rows / KEYS_A_TASK) or 1, "fp")
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     keyed = F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
     return classes.select("fp", F.posexplode(keyed).alias("table", "key"))

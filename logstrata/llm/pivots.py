@@ -8,6 +8,7 @@ after its cosine has been computed from the vectors themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,8 +24,11 @@ from .common import broadcast_if_small, connected_components, materialize
 SAMPLE = 4096
 PIVOTS = 256
 DESCRIBED = 6
-#: No two pivots are as near as this, or the members of a dense group would be told apart by pivots inside it.
+#: Beyond the first DESCRIBED, no two pivots are as near as this, or the members of a dense group would be told apart by pivots inside it.
 APART = 0.9
+#: The share of the sample's linked pairs that have to meet; fewer pivots are taken until they do. So many pairs are looked at.
+MET = 0.98
+TRIED = 200_000
 #: Members of a list that meet in one task; a larger list is split into blocks, and each two blocks meet.
 BLOCK = 512
 
@@ -37,16 +41,18 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def spread_out(sample: np.ndarray, most: int) -> np.ndarray:
-    """Up to `most` unit vectors of a sample, each the farthest from those before it."""
+    """Up to `most` unit vectors of a sample, each the farthest from those before it; at least DESCRIBED if there are so many."""
     if not len(sample):
         return sample
     chosen, near = [0], sample @ sample[0]
-    while len(chosen) < most:
+    near[0] = np.inf
+    while len(chosen) < min(most, len(sample)):
         i = int(near.argmin())
-        if near[i] >= APART:
+        if near[i] >= APART and len(chosen) >= DESCRIBED:
             break
         chosen.append(i)
         near = np.maximum(near, sample @ sample[i])
+        near[chosen] = np.inf
     return sample[chosen]
 
 
@@ -65,6 +71,29 @@ def list_keys(described: np.ndarray, pivots: int) -> np.ndarray:
     return np.stack([near[:, a].astype(np.int64) * pivots + near[:, b] for a, b in pairs], axis=1)
 
 
+def fitted(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """The pivots of a sample of unit vectors: as many as let its pairs at the threshold meet.
+
+    Where all vectors lie near each other, as embeddings that are not centred do, the nearest of many pivots tell linked vectors apart.
+    Descriptions by 2 * DESCRIBED - 2 pivots or fewer always share two.
+    """
+    points = spread_out(sample, PIVOTS)
+    found, step = [], max(1, (1 << 22) // max(1, len(sample)))
+    for s in range(0, len(sample), step):
+        i, j = np.nonzero(sample[s : s + step] @ sample.T >= threshold)
+        i += s
+        found.append(np.stack([i[i < j], j[i < j]], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    pairs = pairs[:: max(1, math.ceil(len(pairs) / TRIED))]
+    while len(points) > 2 * DESCRIBED - 2:
+        a, b = (describe(sample, points, DESCRIBED)[pairs[:, k]] for k in (0, 1))
+        met = sum((a == b[:, k, None]).any(axis=1).astype(int) for k in range(DESCRIBED)) >= 2
+        if met.sum() >= MET * len(pairs):
+            break
+        points = points[: max(len(points) // 2, 2 * DESCRIBED - 2)]
+    return points
+
+
 def _met(size: int, key: np.ndarray, own: np.ndarray, across: np.ndarray, x: dict, threshold: float, pivots: int) -> list[pd.DataFrame]:
     """Links inside groups of one size. x: arrays by group and member."""
     v, norm = x["vec"], x["norm"]
@@ -168,7 +197,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     width = max((len(r[0]) for r in sample), default=0)
     points = _padded([np.array(r[0], np.float64) for r in sample], width)
     norms = np.linalg.norm(points, axis=1, keepdims=True)
-    points = spread_out(points / np.where(norms > 0, norms, 1), PIVOTS)
+    points = fitted(points / np.where(norms > 0, norms, 1), threshold)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

@@ -132,6 +132,30 @@ def test_recall_on_random_pairs_is_high():
     assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(p, q, strict=True)]) > 0.95
 
 
+def near_table(kind):
+    rng = np.random.default_rng(8)
+    if kind == "two":
+        return [[1.0, 0.0], [0.95, float(np.sqrt(1 - 0.95**2))]]
+    if kind == "tight":
+        return (rng.normal(size=16) + rng.normal(size=(40, 16)) * 0.02).tolist()
+    spread = {"uncentred": 0.3, "wide": 0.36}[kind]
+    return (rng.normal(size=64) + rng.normal(size=(400, 64)) * spread).tolist()
+
+
+@pytest.mark.parametrize("kind", ["two", "tight", "uncentred", "wide"])
+def test_vectors_near_each_other_link_as_by_brute_force(spark, kind):
+    rows = [(i, 1, v) for i, v in enumerate(near_table(kind))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_vectors(df).collect()}
+    expected = brute_links(rows, 0.93)
+    assert sum(n for n, _, _ in expected.values())
+    if kind == "wide":
+        assert sum(n for n, _, _ in found.values()) > 0.95 * sum(n for n, _, _ in expected.values())
+        assert all(found[i][0] <= n for i, (n, _, _) in expected.items())
+    else:
+        assert found == expected
+
+
 # 3. Mixing
 def test_mix_meets_targets(spark, docs, empty):
     plan = mixing.mix_documents(docs, shards=4).collect()

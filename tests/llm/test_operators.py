@@ -541,3 +541,18 @@ def test_similar_documents_are_truly_similar(spark, docs, empty):
         assert sum(found[a] == found[b] for a, b in pairs) > 0.9 * len(pairs)
     simhash.VERIFIED = 256
     assert simhash.similar_documents(empty).count() == 0
+
+
+def test_isolated_pairs_of_similar_documents_are_found(spark):
+    rng = random.Random(4)
+    rows = []
+    while len(rows) < 400:
+        words = [f"u{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
+        other = list(words)
+        for _ in range(rng.randrange(1, 12)):
+            other[rng.randrange(len(other))] = "edited"
+        a, b = (set(simhash.shingle_hashes(" ".join(x), 5).tolist()) for x in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == found[i + 1] == i for i in range(0, 400, 2)) >= 199

@@ -21,14 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """The text with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    A fingerprint of two-word shingles proposes, the five-word shingles decide.
+    Fingerprints of two-word shingles and min-hashes propose, the five-word shingles decide. A row is told by doc_id and text: rows that
+    share a doc_id stay if their texts are unlike, a null doc_id comes after all others, and of rows equal in both one stays.
     """
-    first = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id")
-    # Rows that repeat a doc_id are one document, and any of them stays; rows without one are left alone.
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    texts = simhash.similar_texts(docs)
+    first = F.min(F.struct(F.col("first").isNull().alias("last"), "first", "h", "k")).alias("stays")
+    stays = texts.groupBy("component").agg(first).select("stays.first", "stays.h", "stays.k")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), *simhash.text_hashes())
+    kept = rows.alias("d").join(stays.alias("s"), (F.col("d.h") == F.col("s.h")) & (F.col("d.k") == F.col("s.k")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    return kept.groupBy("id", "h", "k").agg(F.min("row").alias("row")).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,18 @@ def test_an_empty_table_passes_all_stages(spark):
     assert docs.count() == 0
 
 
+def test_rows_with_repeated_or_no_ids_lose_copies_only(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [
+        (1, words("a")), (1, words("b")), (1, words("b")), (2, words("b") + " more"), (3, words("c")),
+        (None, words("c")), (None, words("d")), (None, words("d")), (None, words("e")), (4, None), (5, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df.repartition(5), SF).collect()]
+    stay = [(1, words("a")), (1, words("b")), (3, words("c")), (None, words("d")), (None, words("e")), (4, None)]
+    assert sorted(map(str, found)) == sorted(map(str, stay))
+
+
 def test_stages_are_listed():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "SimHash near-dedup", "PII", "mixing sources to target weights", "best-fit packing",

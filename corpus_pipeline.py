@@ -43,8 +43,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix_documents(docs).select("*", F.explode("shards").alias("_shard")).select(*docs.columns)
+    """Documents as often as the mix takes them, in the order of the shards they are dealt to, shuffled within each."""
+    return mixing.draw(mixing.mix_documents(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The pipeline's stages: each returns documents, and its decisions take effect."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
-from logstrata.llm import packing, repetition
+from logstrata.llm import mixing, packing, repetition
 from logstrata.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +58,21 @@ def test_rows_with_repeated_or_no_ids_lose_copies_only(spark):
     assert sorted(map(str, found)) == sorted(map(str, stay))
 
 
+def test_mixed_documents_lie_in_shards_and_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mix_documents(docs)
+    ids = [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect()]
+    assert ids == [r["doc_id"] for r in mixing.draw(plan).collect()]
+    drawn = [(i, s) for i, shards in plan.select("doc_id", "shards").collect() for s in shards]
+    assert Counter(ids) == Counter(i for i, _ in drawn)
+    at = 0
+    for s in range(16):
+        here = [i for i, x in drawn if x == s]
+        assert Counter(ids[at : at + len(here)]) == Counter(here)
+        assert len(here) < 5 or ids[at : at + len(here)] != sorted(here)
+        at += len(here)
+
+
 def test_stages_are_listed():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "SimHash near-dedup", "PII", "mixing sources to target weights", "best-fit packing",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,17 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, connected_components, materialize, text_or_empty
 
 SEED = 42
-#: Fingerprints of one key that meet in one task; a larger group is split into blocks, and each two blocks meet.
-BLOCK = 1024
+#: Fingerprints of one key that meet in one task, 8 bytes each; a larger group is covered again over the bits it has left.
+HELD = 1 << 16
+#: Groups up to this size are compared as matrices, larger ones by breadth-first search.
+MATRIX = 64
 #: Rows of keys that one task makes.
 KEYS_A_TASK = 1_000_000
-#: The same for documents whose shingles are compared.
-VERIFIED = 256
+#: Texts of one group that are compared in one task; larger groups are first cut down by hubs, then told apart by further bands.
+CHECKED = 512
+HUB_ROUNDS = 4
+#: Edges that one hub's set of shingles is sent along with, on average.
+EDGES_A_HUB = 1024
 #: Min-hashes of a set of shingles: so many bands of so many each. Sets of similarity 0.8 agree in some band in 99.99 % of cases.
 BANDS, IN_BAND = 32, 6
 _STEP = 1 << 16
@@ -68,19 +74,36 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(text_or_empty()).alias("fp"))
 
 
-def covering_masks(radius: int) -> list[int]:
-    """The 2 ** (radius + 1) - 1 masks; bit i has m(i) = 1 + i mod their number."""
-    n = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(64) if ((1 + i % n) & v).bit_count() % 2) for v in range(1, n + 1)]
+def covering_masks(radius: int, bits: list[int] | None = None) -> list[int]:
+    """The 2 ** (radius + 1) - 1 masks over some of the 64 bits, all by default.
+
+    With more vectors than bits, all m(i) share their highest bit and differ in the others, which for radius 6 is the
+    first-order Reed-Muller code: each mask has 32 bits or all. Otherwise m(i) takes all vectors in turn. Either way masks
+    are about half as wide as the bits, so that keys part fingerprints well.
+    """
+    bits = list(range(64)) if bits is None else bits
+    n, top = (1 << (radius + 1)) - 1, 1 << radius
+    vector = (lambda i: 1 + i % n) if n < 64 else (lambda i: top | i * 37 % top)
+    return [sum(1 << x for i, x in enumerate(bits) if (vector(i) & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def _keys(classes: DataFrame, radius: int) -> DataFrame:
     # A few bytes become a row for each table, so the fingerprints are dealt out by what they become.
     rows = classes.count() << (radius + 1)
     classes = classes.repartition(math.ceil(rows / KEYS_A_TASK) or 1, "fp")
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    keyed = F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
-    return classes.select("fp", F.posexplode(keyed).alias("table", "key"))
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)]))
+    return classes.select("fp", masks.alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+
+
+def _covered_again(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Keys of fingerprints that agree in a mask's bits, by a covering of the others: what two of them differ in lies there."""
+    for x in batches:
+        for mask, rows in x.groupby("mask"):
+            free = [i for i in range(64) if not mask >> i & 1]
+            fps = rows["fp"].to_numpy()
+            for m in covering_masks(radius, free):
+                wider = _signed((m | mask) & (1 << 64) - 1)
+                yield pd.DataFrame({"mask": wider, "key": fps & np.int64(wider), "fp": fps})
 
 
 def _stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +121,29 @@ def _stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[g, i], fps[g, label[g, i]]
 
 
-def _link_sorted(batches: Iterator[pd.DataFrame], columns: list[str], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by their group's columns; a group may go on in the next batch."""
+def _search(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one group. Each fingerprint is held against those that are not reached yet, which in a dense group are soon none."""
+    left, a, b = fps, [], []
+    while len(left) > 1:
+        root, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            near = np.bitwise_count(left ^ queue.pop()) <= radius
+            if near.any():
+                reached, left = left[near], left[~near]
+                queue.extend(reached)
+                a.append(reached)
+                b.append(np.full(len(reached), root))
+    none = [np.empty(0, fps.dtype)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _link_sorted(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by mask, key and fp; a group may go on in the next batch."""
     rest = None
 
     def linked(x: pd.DataFrame, last: bool) -> tuple[list[pd.DataFrame], pd.DataFrame | None]:
         new = np.ones(len(x), bool)
-        new[1:] = np.logical_or.reduce([x[c].to_numpy()[1:] != x[c].to_numpy()[:-1] for c in columns])
+        new[1:] = np.logical_or.reduce([x[c].to_numpy()[1:] != x[c].to_numpy()[:-1] for c in ("mask", "key")])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(x)))
         keep = None
@@ -112,14 +151,21 @@ def _link_sorted(batches: Iterator[pd.DataFrame], columns: list[str], radius: in
             keep = x.iloc[first[-1] :]
             first, size = first[:-1], size[:-1]
         fps, out = x["fp"].to_numpy().view(np.uint64), []
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            out.append(pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}))
+
         for s in np.unique(size):
             if s < 2:
                 continue
             at = first[size == s]
+            if s > MATRIX:
+                for i in at:
+                    add(*_search(fps[i : i + s], radius))
+                continue
             step = max(1, (1 << 22) // int(s * s))
             for i in range(0, len(at), step):
-                a, b = _stars(fps[at[i : i + step, None] + np.arange(s)], radius)
-                out.append(pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}))
+                add(*_stars(fps[at[i : i + step, None] + np.arange(s)], radius))
         return out, keep
 
     for x in batches:
@@ -133,29 +179,31 @@ def _link_sorted(batches: Iterator[pd.DataFrame], columns: list[str], radius: in
 
 def near_links(classes: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, no more than one per fingerprint and group, whose components are
-    those of all pairs within the radius. classes: distinct fp, cheap to read twice."""
-    keys = _keys(classes, radius)
-    groups = materialize(
-        keys.groupBy("table", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("n > 1"),
-        "groups",
-    )
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = groups.where("n = 2").where(distance <= radius).select("a", "b")
-    larger = groups.where("n > 2").select("table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # The groups of three or more are few, three numbers each; beyond the bound the join is a shuffled one.
-    rows = keys.join(broadcast_if_small(materialize(larger, "larger"), 400_000), ["table", "key"])
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")),
-    )
-    rows = rows.select("table", "key", "fp", F.explode(meets).alias("at")).select("table", "key", "at.i", "at.j", "fp")
-    columns = ["table", "key", "i", "j"]
-    met = rows.repartition(*columns).sortWithinPartitions(*columns, "fp")
-    found = met.mapInPandas(lambda it: _link_sorted(it, columns, radius), "a long, b long")
-    return pairs.unionByName(found)
+    those of all pairs within the radius. classes: distinct fp, cheap to read twice.
+
+    A group of more than HELD fingerprints is covered again over the bits that its mask leaves out, until none is larger: the
+    rows this makes grow with the group, not with its square.
+    """
+    rows, found = _keys(classes, radius), None
+    while True:
+        groups = materialize(
+            rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
+            "groups",
+        )
+        distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+        pairs = groups.where("n = 2").where(distance <= radius).select("a", "b")
+        # The groups of three or more are few, two numbers each; beyond the bound the join is a shuffled one.
+        held = materialize(groups.where((F.col("n") > 2) & (F.col("n") <= HELD)).select("mask", "key"), "held")
+        met = rows.join(broadcast_if_small(held, 400_000), ["mask", "key"])
+        met = met.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        linked = met.mapInPandas(lambda it: _link_sorted(it, radius), "a long, b long")
+        found = pairs.unionByName(linked) if found is None else found.unionByName(pairs).unionByName(linked)
+        larger = groups.where(F.col("n") > HELD).select("mask", "key")
+        if larger.isEmpty():
+            return found
+        again = rows.join(broadcast_if_small(larger, 400_000), ["mask", "key"]).select("mask", "fp")
+        again = again.mapInPandas(lambda it: _covered_again(it, radius), "mask long, key long, fp long")
+        rows = materialize(again.distinct(), "again")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -173,14 +221,13 @@ def _components(fps: DataFrame, radius: int) -> DataFrame:
     """fps: doc_id and fp, cheap to read. Adds component_id."""
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(near_links(classes, radius), "a", "b")
-    rooted = materialize(
-        classes.join(roots, classes["fp"] == roots["node"], "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        ),
-        "rooted",
-    )
-    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
+    rooted = materialize(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "root"), "rooted")
+    # A fingerprint that is linked with none names itself; of the others there are few.
+    linked = rooted.where(F.col("root").isNotNull())
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    named = linked.join(broadcast_if_small(least, 400_000), "root").select("fp", "component_id")
+    alone = rooted.where(F.col("root").isNull()).select("fp", F.col("first").alias("component_id"))
+    named = materialize(named.unionByName(alone), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -209,55 +256,91 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return (both > 0) & (shared >= similarity * both - 1e-9)
 
 
-def _verify_sorted(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by component, i and j; edges join each member to the least of those it is similar to, directly or not."""
-    rest = None
+def _cross_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join what is similar across labels. sets come by label; blocks of one label alone are not compared."""
+    parent, a, b = label.copy(), [], []
+    for i in range(0, len(sets), CHECKED):
+        for j in range(i, len(sets), CHECKED):
+            rows, columns = np.arange(i, min(i + CHECKED, len(sets))), np.arange(j, min(j + CHECKED, len(sets)))
+            both = rows if i == j else np.concatenate([rows, columns])
+            if (parent[both] == parent[both[0]]).all():
+                continue
+            near = similar_pairs([sets[x] for x in both], similarity) & (parent[both][:, None] != parent[both][None, :])
+            for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+                p, q = parent[both[x]], parent[both[y]]
+                if p != q:
+                    parent[parent == q] = p
+                    a.append(both[y])
+                    b.append(both[x])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _cross_sorted(batches: Iterator[pd.DataFrame], columns: list[str], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by their group's columns and label; a group may go on in the next batch."""
+    rest: list[pd.DataFrame] = []
 
-    def stars(x: pd.DataFrame) -> pd.DataFrame:
-        near = similar_pairs([np.frombuffer(b, np.uint64) for b in x["shingles"]], similarity)
-        ids = x["doc_id"].to_numpy()
-        label = np.arange(len(ids))
-        while True:
-            new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        at = np.flatnonzero(label != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
+    def linked(x: pd.DataFrame) -> pd.DataFrame:
+        ids = x["node"].to_numpy()
+        a, b = _cross_links([np.frombuffer(d, np.uint64) for d in x["shingles"]], x["label"].to_numpy(), similarity)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     for x in batches:
-        x = x if rest is None else pd.concat([rest, x], ignore_index=True)
         if not len(x):
             continue
-        part = x[["component", "i", "j"]].to_numpy()
+        part = x[columns].to_numpy()
         first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]).any(axis=1))))
-        for a, b in zip(first, first[1:], strict=False):
-            yield stars(x.iloc[a:b])
-        rest = x.iloc[first[-1] :]
-    if rest is not None and len(rest):
-        yield stars(rest)
+        if rest and (rest[-1][columns].to_numpy()[-1] == part[0]).all():
+            rest.append(x.iloc[: first[1]] if len(first) > 1 else x)
+            first = first[1:]
+        if len(first):
+            if rest:
+                yield linked(pd.concat(rest, ignore_index=True))
+            for a, b in zip(first, first[1:], strict=False):
+                yield linked(x.iloc[a:b])
+            rest = [x.iloc[first[-1] :]]
+    if rest:
+        yield linked(pd.concat(rest, ignore_index=True))
+
 
+@cache
+def _factors(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, BANDS * IN_BAND, np.uint64) | np.uint64(1)
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+
+def band_keys(shingles: np.ndarray, seed: int = SEED) -> np.ndarray:
     """A hash for each band of the set's min-hashes; none of an empty set."""
     if not len(shingles):
         return np.zeros(0, np.int64)
     least = np.full(BANDS * IN_BAND, np.iinfo(np.uint64).max, np.uint64)
-    factors = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * IN_BAND, np.uint64) | np.uint64(1)
+    factors = _factors(seed)
     for i in range(0, len(shingles), 1024):
         least = np.minimum(least, (shingles[i : i + 1024, None] * factors).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, IN_BAND))], np.uint64).view(np.int64)
 
 
-def band_links(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that join each text to the least of those that share a band's key. texts: node, bands; cheap to read twice."""
-    keys = texts.select("node", F.posexplode("bands").alias("band", "key"))
-    groups = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"))
-    groups = materialize(groups.where("n > 1"), "bands")
-    larger = materialize(groups.where("n > 2").select("band", "key", "b"), "larger")
-    met = keys.join(broadcast_if_small(larger, 400_000), ["band", "key"]).select(F.col("node").alias("a"), "b")
-    return groups.where("n = 2").select("a", "b").unionByName(met.where("a <> b")).distinct()
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets of shingles have this Jaccard similarity. sets: node, shingles.
+
+    A hub, b of many edges, is sent along with shares of them, so that no task holds all edges of one.
+    """
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            both = len(p) + len(q) - shared
+            out.append(both > 0 and shared >= similarity * both - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    shares = max(1, math.ceil(edges.count() / EDGES_A_HUB))
+    salted = edges.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(shares)).alias("salt"))
+    hubs = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    ends = salted.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(hubs, ["b", "salt"])
+    p, q = F.octet_length("x"), F.octet_length("y")
+    possible = F.least(p, q) >= (similarity - 1e-9) * F.greatest(p, q)
+    return ends.where(possible).where(near("x", "y")).select("a", "b")
 
 
 def text_hashes() -> tuple[Column, Column]:
@@ -268,10 +351,11 @@ def text_hashes() -> tuple[Column, Column]:
 def similar_texts(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Components of distinct texts whose sets of `width`-word shingles have at least this Jaccard similarity.
 
-    Candidates come from two sources: covering tables over fingerprints of short shingles, which a changed word disturbs least, and
-    bands of min-hashes of the `width`-word shingles. Inside the components of both, sets of shingles decide, exactly: every link
-    is a true one, and a pair at 0.8 is met in 99.99 % of cases. Returns h and k (see text_hashes), first (smallest doc_id of the text,
-    null if it has none) and component (a number).
+    Texts meet in groups from two sources: components of covering tables over fingerprints of short shingles, which a changed word
+    disturbs least, and bands of min-hashes of the `width`-word shingles, in one of which a pair at 0.8 meets in 99.99 % of cases.
+    Sets of shingles decide, exactly: first each text is held against its group's hub, and what that joins is one from there on; then
+    what a group still has in several parts is compared across them. Returns h and k (see text_hashes), first (smallest doc_id of the
+    text, null if it has none) and component (a number).
     """
 
     @F.pandas_udf("fp long, bands array<long>")
@@ -283,29 +367,61 @@ def similar_texts(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, width).tobytes() for t in texts])
 
+    @F.pandas_udf("array<long>")
+    def further(sets: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(np.frombuffer(b, np.uint64), SEED + 1) for b in sets])
+
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()
     sketches = docs.select(doc_id, *text_hashes(), sketched(text).alias("s"))
     texts = sketches.groupBy("h", "k").agg(F.min("doc_id").alias("first"), F.any_value("s").alias("s"))
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "h", "k", "first", "s.*"), "texts")
     proposed = _components(texts.select(F.col("node").alias("doc_id"), "fp"), radius)
-    edges = proposed.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(band_links(texts))
-    roots = connected_components(edges, "a", "b").withColumnRenamed("root", "component")
-    roots = materialize(roots, "candidates")
-    sizes = materialize(roots.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("blocks")), "sizes")
-    members = texts.select("node", "h", "k", "first").join(roots, "node").join(broadcast_if_small(sizes, 400_000), "component")
-    members = materialize(members, "members")
+    group = ["band", "key"]
+    keys = texts.select("node", F.posexplode("bands").alias("band", "key")).unionByName(
+        proposed.select(F.col("doc_id").alias("node"), F.lit(-1).alias("band"), F.col("component_id").alias("key"))
+    )
+    keys = materialize(keys, "keys")
+    shared = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"))
+    shared = materialize(shared.where("n > 1"), "shared")
+    larger = materialize(shared.where("n > 2").select(*group, "b"), "larger")
+    members = materialize(keys.join(broadcast_if_small(larger, 400_000), group), "members")
+    edges = members.where("node <> b").select(F.col("node").alias("a"), "b").unionByName(shared.where("n = 2").select("a", "b"))
+    edges = materialize(edges.distinct(), "edges")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    named = texts.join(ends, "node", "left_semi").select("node", "h", "k", "first")
     rows = docs.select(doc_id, *text_hashes(), text.alias("text")).alias("d")
     same = (F.col("d.h") == F.col("m.h")) & (F.col("d.k") == F.col("m.k")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    sets = rows.join(members.alias("m"), same).select("component", "node", "blocks", "text").dropDuplicates(["node"])
-    sets = sets.select("component", F.col("node").alias("doc_id"), "blocks", shingled("text").alias("shingles"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    columns = ["component", "i", "j"]
-    spread = sets.select("component", F.explode(meets).alias("at"), "doc_id", "shingles").select("component", "at.i", "at.j", "doc_id", "shingles")
-    found = spread.repartition(*columns).sortWithinPartitions(*columns, "doc_id").mapInPandas(lambda it: _verify_sorted(it, similarity), "a long, b long")
-    roots = connected_components(found, "a", "b").withColumnRenamed("node", "linked")
-    told = texts.join(roots, F.col("node") == F.col("linked"), "left")
-    return materialize(told.select("h", "k", "first", F.coalesce("root", "node").alias("component")), "told")
+    sets = rows.join(named.alias("m"), same).select("node", "text").dropDuplicates(["node"])
+    sets = materialize(sets.select("node", shingled("text").alias("shingles")), "sets")
+
+    links = materialize(verified(edges, sets, similarity), "links")
+    for t in range(HUB_ROUNDS + 1):
+        labels = materialize(connected_components(links, "a", "b"), "labels")
+        told = members.select(*group, "node").join(labels, "node", "left").select(*group, "node", F.coalesce("root", "node").alias("label"))
+        h = F.xxhash64("node")
+        parts = told.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(h).alias("x"),
+            F.sum(F.shiftright(h, 24)).alias("y"), F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(t), "node")).alias("hub"),
+        )
+        # Groups with the same members, as bands of copies have them, are looked at once.
+        parts = parts.where("low < high").groupBy("n", "x", "y").agg(F.min(F.struct(*group, "hub")).alias("g"))
+        parts = materialize(parts.select("g.*", "n"), "parts")
+        wide = parts.where(F.col("n") > CHECKED)
+        if t == HUB_ROUNDS or wide.isEmpty():
+            break
+        met = told.join(broadcast_if_small(wide, 400_000), group).where("label <> hub.label")
+        more = materialize(met.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct(), "edges")
+        links = materialize(links.unionByName(verified(more, sets, similarity)), "links")
+    columns = [*group, "sub", "at"]
+    spread = told.join(broadcast_if_small(parts.select(*group, "n"), 400_000), group).join(sets, "node")
+    whole = spread.where(F.col("n") <= CHECKED).withColumns({"sub": F.lit(0), "at": F.lit(0).cast("long")})
+    apart = spread.where(F.col("n") > CHECKED).select("*", F.posexplode(further("shingles")).alias("sub", "at"))
+    open_ = whole.unionByName(apart).select(*columns, "label", "node", "shingles")
+    open_ = open_.repartition(*columns).sortWithinPartitions(*columns, "label", "node")
+    found = open_.mapInPandas(lambda it: _cross_sorted(it, columns, similarity), "a long, b long")
+    roots = connected_components(links.unionByName(found), "a", "b").withColumnRenamed("node", "linked")
+    named = texts.join(roots, F.col("node") == F.col("linked"), "left")
+    return materialize(named.select("h", "k", "first", F.coalesce("root", "node").alias("component")), "told")
 
 
 def similar_documents(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -395,11 +395,14 @@ def components(fps, radius):
 
 def test_masks_cover_the_radius():
     rng = random.Random(1)
-    masks = simhash.covering_masks(4)
-    assert len(masks) == 31
-    for _ in range(2000):
-        d = sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
-        assert any(not d & m for m in masks)
+    for radius in (4, 6):
+        for bits in (list(range(64)), rng.sample(range(64), 32), rng.sample(range(64), 17)):
+            masks = simhash.covering_masks(radius, bits)
+            assert len(masks) == 2 ** (radius + 1) - 1 and all(masks)
+            for _ in range(500):
+                d = sum(1 << b for b in rng.sample(bits, rng.randrange(radius + 1)))
+                assert any(not d & m for m in masks)
+    assert min(m.bit_count() for r in (4, 6) for m in simhash.covering_masks(r)) >= 32
 
 
 def test_fingerprints_and_components(spark, docs, empty):
@@ -414,20 +417,22 @@ def test_fingerprints_and_components(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_clusters_of_near_fingerprints(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("radius", [4, 6])
+@pytest.mark.parametrize(("held", "matrix"), [(1 << 16, 64), (30, 5)])
+def test_clusters_of_near_fingerprints(spark, monkeypatch, radius, held, matrix):
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
     rng = random.Random(2)
     fps = set()
     for _ in range(6):
         centre = rng.getrandbits(64)
-        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(30)}
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 2))) for _ in range(120)}
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = sorted(simhash._signed(f) for f in fps)
     classes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    links = simhash.near_links(classes, 4)
+    links = simhash.near_links(classes, radius)
     found = {r["node"]: r["root"] for r in common.connected_components(links, "a", "b").collect()}
-    want = components([(f, f & (2**64 - 1)) for f in signed], 4)
+    want = components([(f, f & (2**64 - 1)) for f in signed], radius)
     assert {f: found.get(f, f) for f in signed} == want
 
 
@@ -509,7 +514,9 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
-def test_similar_documents_are_truly_similar(spark, docs, empty):
+@pytest.mark.parametrize("checked", [512, 3])
+def test_similar_documents_are_truly_similar(spark, docs, empty, monkeypatch, checked):
+    monkeypatch.setattr(simhash, "CHECKED", checked)
     rng = random.Random(21)
     base = [[f"v{rng.randrange(900)}" for _ in range(200)] for _ in range(10)]
     rows = []
@@ -519,27 +526,24 @@ def test_similar_documents_are_truly_similar(spark, docs, empty):
             words[rng.randrange(200)] = "edited"
         rows.append((1000 + i, " ".join(words)))
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
-    for block in (256, 3):
-        simhash.VERIFIED = block
-        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
-        texts = {r[0]: r[1] or "" for r in df.collect() if r[0] is not None}
-        assert found.keys() == texts.keys()
-        sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-        like = lambda a, b: texts[a] == texts[b] or (sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))  # noqa: E731, B023
-        groups = defaultdict(list)
-        for i, c in found.items():
-            groups[c].append(i)
-        for c, members in groups.items():
-            seen, todo = {c}, [c]
-            while todo:
-                x = todo.pop()
-                new = [y for y in members if y not in seen and like(x, y)]
-                seen.update(new)
-                todo += new
-            assert seen == set(members) and c == min(members)
-        pairs = [(a, b) for a in range(1000, 1120) for b in range(1000, a) if like(a, b)]
-        assert sum(found[a] == found[b] for a, b in pairs) > 0.9 * len(pairs)
-    simhash.VERIFIED = 256
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    texts = {r[0]: r[1] or "" for r in df.collect() if r[0] is not None}
+    assert found.keys() == texts.keys()
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    like = lambda a, b: texts[a] == texts[b] or (sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))  # noqa: E731, B023
+    groups = defaultdict(list)
+    for i, c in found.items():
+        groups[c].append(i)
+    for c, members in groups.items():
+        seen, todo = {c}, [c]
+        while todo:
+            x = todo.pop()
+            new = [y for y in members if y not in seen and like(x, y)]
+            seen.update(new)
+            todo += new
+        assert seen == set(members) and c == min(members)
+    pairs = [(a, b) for a in range(1000, 1120) for b in range(1000, a) if like(a, b)]
+    assert sum(found[a] == found[b] for a, b in pairs) > 0.9 * len(pairs)
     assert simhash.similar_documents(empty).count() == 0
 
 

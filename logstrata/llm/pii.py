@@ -176,7 +176,10 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 
 
 def _bootstrap(seen: DataFrame) -> DataFrame:
-    """(instance, kind) of unseen identifiers, from (instance, context, kind or null) occurrences.
+    """(instance, context, found kind) of unseen identifiers, from (instance, context, kind or null) occurrences.
+
+    A confident instance counts only in contexts that are trusted for its kind: the same word elsewhere, as a year that also
+    stands where card numbers do, is left alone.
 
     Edges are counted with partial aggregation before they are dealt by context or instance, so a frequent one is
     a few rows. Scores are sums over edges; each round's are written out.
@@ -205,7 +208,9 @@ def _bootstrap(seen: DataFrame) -> DataFrame:
         scores = materialize(open_.groupBy("instance").agg(*[(1 - miss(c)).alias(c) for c in columns]), "scores")
     best = F.greatest(*columns)
     kind = F.coalesce(*[F.when(F.col(c) == best, k) for k, c in enumerate(columns)])
-    return scores.where(best >= CONFIDENT).select("instance", kind.alias("found"))
+    found = scores.where(best >= CONFIDENT).select("instance", kind.alias("found"))
+    trusted = F.get(F.array(*columns), F.col("found")) > 0.5
+    return open_.join(found, "instance").where(trusted).select("instance", "context", "found")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -213,8 +218,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Adds to the columns of docs: base and spans, arrays of (start, kind, end) in code points, end exclusive, kind an index
     of KINDS; columns of docs with these names, row or added are replaced. spans holds all of base and, where no base span is,
-    the words that trusted contexts name. A null text is empty; rows that repeat are searched each; an empty table gives an
-    empty result. Texts pass through no shuffle: only identifier-like words with their contexts do.
+    the words that trusted contexts name, where these contexts are around them. A context is the word before and the word after, looked
+    for in REACH code points; scores go through ROUNDS rounds. A null text is empty; rows that repeat are searched each; an empty
+    table gives an empty result. Texts pass through no shuffle: only identifier-like words with their contexts do.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans", "row", "added")]
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
@@ -224,7 +230,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     named = broadcast_if_small(materialize(_bootstrap(seen.select("instance", "context", "kind")), "named"))
     more = (
         seen.where(F.col("kind").isNull())
-        .join(named, "instance")
+        .join(named, ["instance", "context"])
         .groupBy("row")
         .agg(F.collect_set(F.struct(F.col("start").cast("int"), F.col("found").cast("int").alias("kind"), F.col("end").cast("int"))).alias("added"))
     )

@@ -241,6 +241,17 @@ def test_contexts_find_unseen_identifiers(spark):
 
 
 # 5. WARC
+def test_words_are_left_alone_outside_of_trusted_contexts(spark):
+    cards = [f"please charge 4{i:014d}" for i in range(400)]
+    luhn = lambda d: sum(int(c) if i % 2 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d)) % 10 == 0
+    texts = [c + f"{x} today" for c in cards for x in range(10) if luhn((c + str(x)).split()[-1])][:30]
+    texts += ["please charge 2024 today", "in the year 2024 we built it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["out"] for r in pii.find_pii(df).withColumn("out", pii.redact(F.col("text"), F.col("spans"))).collect()}
+    assert [out[i] for i in range(31)] == ["please charge <card> today"] * 31
+    assert out[31] == "in the year 2024 we built it"
+
+
 def test_warc_round_trip_rejects_records_inside_payloads(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     htmls = ["<p>é</p>", inner, inner * 3 + "x", "", None, "same", "same", "same", "\r\n\r\n", "WARC/1.0\r\n", "tail\n", "x" * 50_000]

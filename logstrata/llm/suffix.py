@@ -111,8 +111,10 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) ->
         h = gram_hashes(piece, gram)
         tagged = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         at = (_window_least(tagged, width - gram + 1) & low).astype(np.int64)
-        start = a + np.arange(len(at))
-        valid = ends[np.searchsorted(ends, start, "right").clip(max=len(ends) - 1)] - start >= width
+        valid = np.ones(len(at), bool)
+        crossed = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, a + len(at) + width)] - a
+        for end in crossed.tolist():
+            valid[max(0, end - width + 1) : end] = False
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
         first = np.flatnonzero(new)
@@ -134,13 +136,13 @@ def row_width(width: int, gram: int) -> int:
 
 
 def distinct_rows(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index of each distinct (key, row), by key, and which of them each row is. rows: bytes, a multiple of 8 wide."""
+    """An index of each distinct (key, row), by key, and which of them each row is. rows: bytes, a multiple of 8 wide."""
     words = rows.view(np.uint64).reshape(len(rows), rows.shape[1] // 8)
     h = key.copy()
     for j in range(words.shape[1]):
         h = h * _MUL[0] + words[:, j]
     h = _mix(h)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     new = np.ones(len(h), bool)
     new[1:] = h[order[1:]] != h[order[:-1]]
     again = np.flatnonzero(~new)
@@ -182,15 +184,20 @@ class Chunk:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, "right")
 
-    def repeated_here(self) -> np.ndarray:
-        """Hashes of anchors that two documents of the chunk hold."""
-        order = np.argsort(self.hash, kind="stable")
-        h, d = self.hash[order], self.doc(self.first[order])
-        return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        """The runs whose anchors another chunk or two documents of this one hold."""
+        order = np.argsort(self.hash)
+        h = self.hash[order]
+        d = self.doc(self.first)[order]
+        known = np.sort(np.concatenate([elsewhere, h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])]]))
+        edge = np.zeros(len(h) + 1, np.int64)
+        np.add.at(edge, np.searchsorted(h, known), 1)
+        np.add.at(edge, np.searchsorted(h, known, "right"), -1)
+        return np.sort(order[np.cumsum(edge)[:-1] > 0])
 
     def contexts(self, elsewhere: np.ndarray) -> None:
         """Distinct contexts of the runs whose anchors are repeated: hash, text, smallest id, and the runs of each."""
-        self.run = np.flatnonzero(np.isin(self.hash, elsewhere) | np.isin(self.hash, self.repeated_here()))
+        self.run = self.repeated(elsewhere)
         first, size = self.first[self.run], self.last[self.run] - self.first[self.run] + self.width
         # A row is a context, padded, with its size as the last byte.
         wide = self.wide
@@ -209,7 +216,7 @@ class Chunk:
 
     def covered(self, context: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Mask of the bytes to remove, from answers: windows a to b of a context also start in a document `least`."""
-        order = np.argsort(self.context, kind="stable")
+        order = np.argsort(self.context)
         begin = np.searchsorted(self.context[order], context)
         many = self.times[context]
         answer = np.repeat(np.arange(len(context)), many)
@@ -308,6 +315,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _dealt(bucket: np.ndarray, chunk: int, buckets: int, rows: list[np.ndarray]) -> pd.DataFrame:
     """One packed value for each bucket, of arrays whose rows belong to buckets."""
+    bucket = bucket.astype(np.min_scalar_type(buckets))
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     some = np.flatnonzero(cut[1:] > cut[:-1])
@@ -340,14 +348,16 @@ def repeated_anchors(texts: DataFrame, chunks: int, width: int, gram: int) -> Da
 
     def send(x: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(list(x["data"]), width, gram)
-        h = np.unique(c.hash)
+        h = np.sort(c.hash)
+        h = h[np.diff(h, prepend=~h[:1]) != 0]
         return _dealt(_bucket(h, chunks), x["chunk"].iat[0], chunks, [h])
 
     def meet(x: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d, np.uint64)[0] for d in x["data"]]
         every = np.sort(np.concatenate(parts))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        data = [pack(p[np.isin(p, shared)]) for p in parts]
+        shared = every[1:][every[1:] == every[:-1]]
+        # Each part is ascending, so that it is looked up at its own length's cost.
+        data = [pack(p[np.searchsorted(shared, p, "right") > np.searchsorted(shared, p)]) for p in parts]
         return pd.DataFrame({"chunk": x["chunk"].to_numpy(), "kind": 1, "data": data})
 
     sent = texts.groupBy("chunk").applyInPandas(send, _DEALT)

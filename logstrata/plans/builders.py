@@ -69,8 +69,8 @@ def mask(rows: DataFrame, tombstones: DataFrame, pfx_len: int) -> DataFrame:
 def visible(log: DataFrame, view: int | None = None, pfx_len: int = 0, where: Column | None = None) -> DataFrame:
     """Live pairs at a view. `where` is on keys and comes before versions are picked, as key filters commute with that; filters
     on values have to come after."""
-    rows = log if where is None else log.where(where | (F.col("vtype") == "PT"))
-    found = versions(rows, view)
+    # Prefix tombstones are read from the whole log below, so that the filter on keys reaches the scan by itself.
+    found = versions(log if where is None else log.where(where), view)
     if pfx_len:
         found = mask(found, prefix_tombstones(log, view), pfx_len)
     return found.where(F.col("vtype") == "V").drop("vtype")

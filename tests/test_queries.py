@@ -160,3 +160,16 @@ def test_script_source(spark, tmp_path):
     (tmp_path / "ops.txt").write_text("p a 1\np b 2 3\nd a\n# note\nD \n")
     found = {bytes(r["key"]): bytes(r["value"]) for r in visible(read_script(spark, f"file://{tmp_path}/ops.txt")).collect()}
     assert found == {b"b": b"2 3"}
+
+
+def test_key_filters_reach_the_scan(spark, tmp_path):
+    rows = [("a", 1, 0, "V", "x", None), ("a", 3, 1, "PT", None, None), ("ab", 2, 2, "V", "y", None), ("ab", 4, 3, "V", "z", None), ("b", 5, 4, "V", "w", None)]
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, "key string, seqno long, ord long, vtype string, value string, txn_id long").write.parquet(path)
+    log = spark.read.parquet(path)
+    got = reads.point_get(log, "ab")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,ab)" in plan and "Or(" not in plan
+    assert [r["value"] for r in reads.point_get(log, "ab", pfx_len=1).collect()] == ["z"]
+    assert reads.point_get(log, "ab", view=3, pfx_len=1).collect() == []
+    assert reads.point_get(log, "ab", view=2, pfx_len=1).count() == 1

@@ -13,8 +13,8 @@ MAX_KEY = 1344
 MAX_VALUE = 1 << 20
 MAX_PREFIX = 32
 MAX_STORES = 256
-#: Multipliers of sizes such as "1gb"; decimal without, binary with an i.
-SIZE_UNITS = {"": 1, "b": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "p": 10**15, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40, "pi": 2**50}
+#: Binary multipliers of the letters after a size, in either case.
+SIZE_UNITS = {"": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40, "p": 2**50, "e": 2**60}
 
 
 def decimal_key(number: Column, width: int = 10) -> Column:
@@ -53,8 +53,18 @@ def key_range(key: Column, low=None, high=None, closed: bool = True) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as "64", "10kb" or "1GiB"; null if it is none."""
-    parts = r"^\s*([0-9]+)\s*([a-zA-Z]*?)[bB]?\s*$"
-    units = F.create_map(*[x for k, v in SIZE_UNITS.items() for x in (F.lit(k), F.lit(v))])
-    number, unit = F.regexp_extract(text, parts, 1), F.lower(F.regexp_extract(text, parts, 2))
-    return F.when(number != "", number.cast("long") * units[unit])
+    """Bytes of a size such as "64", "10k" or "1 G"; null if it is none or more than a long holds.
+
+    Digits are decimal, or hexadecimal after 0x, or octal after 0. One letter may follow, with spaces around it, and nothing else.
+    """
+    parts = r"^\s*([1-9][0-9]*|0[xX][0-9a-fA-F]+|0[0-7]*)\s*([kmgtpeKMGTPE]?)\s*$"
+    units = F.create_map(*[x for k, v in SIZE_UNITS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    digits, unit = F.regexp_extract(text, parts, 1), F.lower(F.regexp_extract(text, parts, 2))
+    hexa, octal = F.lower(digits).startswith("0x"), digits.startswith("0")
+    # Numbers of more digits than a long can have would wrap round or stop at the greatest in conv.
+    number = (
+        F.when(hexa & digits.rlike("^0.0*[0-9a-fA-F]{1,16}$"), F.conv(F.substring(digits, 3, 1 << 30), 16, 10))
+        .when(~hexa & octal & digits.rlike("^0*[0-7]{0,21}$"), F.conv(digits, 8, 10))
+        .when(~octal & (digits != ""), digits)
+    )
+    return F.try_multiply(number.try_cast("long"), units[unit])

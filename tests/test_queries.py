@@ -139,8 +139,13 @@ def test_scan_pushes_key_ranges_down(spark, tmp_path):
     plan = df._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
     assert successor(b"\xff\xff") is None and successor(b"a\xff") == b"b"
-    sizes = spark.createDataFrame([("64",), ("10kb",), ("1GiB",), ("x",)], "s string").select(parse_size(F.col("s"))).collect()
-    assert [r[0] for r in sizes] == [64, 10_000, 2**30, None]
+    sizes = {
+        "64": 64, "0": 0, "1k": 1024, " 3 M ": 3 << 20, "1g": 1 << 30, "2T": 2 << 40, "1p": 1 << 50, "1e": 1 << 60, "0x10": 16, "0x10k": 16384, "010": 8,
+        "10kb": None, "1GiB": None, "x": None, "": None, "1 k b": None, "089": None, "8e": None, "10000p": None, "99999999999999999999": None,
+        "0xffffffffffffffff": None, "0777777777777777777777": 2**63 - 1, None: None,
+    }
+    found = spark.createDataFrame([(s,) for s in sizes], "s string").select("s", parse_size(F.col("s")).alias("n")).collect()
+    assert {r["s"]: r["n"] for r in found} == sizes
 
 
 def test_catalog_recovery(spark):

@@ -124,6 +124,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id"""
 
 
+def _op2_sql() -> str:
+    return """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS p, b.vec_id AS q FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS p, vec_id AS q FROM v UNION SELECT reach.p, link.q FROM reach JOIN link ON reach.q = link.p),
+least AS (SELECT p, min(q) AS component_id FROM reach GROUP BY p),
+many AS (SELECT p, count(*) AS n FROM link GROUP BY p)
+SELECT v.vec_id, coalesce(many.n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON v.vec_id = least.p LEFT JOIN many ON v.vec_id = many.p"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": op1_rendezvous_shards,
@@ -140,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": _op5_sql(), "op10_chat_examples": _op10_sql()}
+    return {"op2_pivot_permutations": _op2_sql(), "op5_warc_round_trip": _op5_sql(), "op10_chat_examples": _op10_sql()}

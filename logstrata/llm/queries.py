@@ -138,6 +138,78 @@ SELECT v.vec_id, coalesce(many.n, 0)::BIGINT AS n_links, component_id, v.vec_id
 FROM v JOIN least ON v.vec_id = least.p LEFT JOIN many ON v.vec_id = many.p"""
 
 
+def _op1_sql() -> str:
+    unit = lambda salt: f"('0x' || substr(md5({salt}), 1, 13))::BIGINT"
+    shards = lambda n: f"""list_reduce(range({n}), lambda p, s: CASE WHEN {unit("key || ':' || s")} > {unit("key || ':' || p")} THEN s ELSE p END)::INT"""
+    table = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), b))"
+    return f"""
+WITH t AS (SELECT {table} AS crc),
+d AS MATERIALIZED (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, encode(coalesce(text, '')) AS b FROM documents),
+p AS MATERIALIZED (SELECT doc_id, key, octet_length(b) + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+    {shards(SHARDS)} AS shard, {shards(SHARDS + 1)} AS grown_shard FROM d, t),
+n AS (SELECT greatest(1, ceil(count(*) / ({SHARDS} * {sharding.BLOCK_ROWS}.0)))::BIGINT AS blocks FROM documents)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY {unit("'slot:' || key")} % blocks, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM p, n"""
+
+
+def _op6_sql() -> str:
+    """A repeat of LEAST_REPEAT words or more is covered by repeated windows of that many; the longest is found by doubling."""
+    levels = 16
+
+    def windows(width: int) -> str:
+        """Words of each document that windows of this width, found twice or more in it, cover."""
+        alike = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(width))
+        key = ", ".join(f"w{i}" for i in range(width))
+        return f"""(SELECT d, count(*) AS n FROM (SELECT d, max(again) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW) AS again
+    FROM (SELECT d, i, w{width - 1} IS NOT NULL AND count(*) OVER (PARTITION BY d, {key}) > 1 AS again
+      FROM (SELECT d, i, {alike} FROM u WINDOW o AS (PARTITION BY d ORDER BY i)))) WHERE again GROUP BY d)"""
+
+    # l{k}: starts of repeats of 2 ** k words and their class. s{k}: starts of the longest repeats, to a multiple of 2 ** k.
+    steps = ["l0 AS MATERIALIZED (SELECT d, i, min(i) OVER g AS c FROM u WINDOW g AS (PARTITION BY d, w) QUALIFY count(*) OVER g > 1)"]
+    for k in range(1, levels + 1):
+        steps.append(f"""l{k} AS MATERIALIZED (SELECT a.d, a.i, min(a.i) OVER g AS c FROM l{k - 1} a JOIN l{k - 1} b ON a.d = b.d AND b.i = a.i + {1 << k - 1}
+  WINDOW g AS (PARTITION BY a.d, a.c, b.c) QUALIFY count(*) OVER g > 1)""")
+    tops = " UNION ALL ".join(f"SELECT d, i, c, {1 << k} AS n FROM l{k} WHERE d NOT IN (SELECT d FROM l{k + 1})" for k in range(levels))
+    steps.append(f"s{levels} AS MATERIALIZED ({tops})")
+    for k in range(levels - 1, -1, -1):
+        steps.append(f"""t{k} AS MATERIALIZED (SELECT a.d, a.i, min(a.i) OVER g AS c, a.n + {1 << k} AS n FROM s{k + 1} a JOIN l{k} b ON a.d = b.d AND b.i = a.i + a.n
+  WINDOW g AS (PARTITION BY a.d, a.c, b.c) QUALIFY count(*) OVER g > 1)""")
+        steps.append(f"s{k} AS MATERIALIZED (SELECT * FROM t{k} UNION ALL SELECT * FROM s{k + 1} WHERE d NOT IN (SELECT d FROM t{k}))")
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents),
+y AS MATERIALIZED (SELECT d, doc_id, t, regexp_extract_all(t, '{word}+') AS ws, list_filter(string_split(t, chr(10)), lambda r: regexp_matches(r, '{word}')) AS rs FROM x),
+u AS MATERIALIZED (SELECT d, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM y),
+{", ".join(steps)},
+m AS (SELECT y.d, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^{repetition.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, (len(rs) - len(list_distinct(rs)))::BIGINT AS n_dup_lines,
+  coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS repeat_covered, coalesce(c.n, 0)::BIGINT AS longest_repeat
+  FROM y LEFT JOIN {windows(repetition.WINDOW)} a ON y.d = a.d LEFT JOIN {windows(repetition.LEAST_REPEAT)} b ON y.d = b.d
+  LEFT JOIN (SELECT d, max(n) AS n FROM s0 GROUP BY d) c ON y.d = c.d),
+f AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT * EXCLUDE (d), NOT base_failed AND repeat_covered <= {repetition.MAX_COVERED}::DOUBLE * n_words AND longest_repeat <= {repetition.MAX_LONGEST} AS kept FROM f"""
+
+
+def _op9_sql() -> str:
+    """Every byte window of every document, by itself."""
+    return """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, o, i, b[i + 1 : i + 50] AS s FROM (SELECT r, o, b, unnest(range(octet_length(b) - 49)) AS i FROM d)),
+first AS (SELECT s, min(o) AS o FROM w GROUP BY s HAVING min(o) < max(o)),
+hit AS (SELECT w.r, w.i FROM w JOIN first USING (s) WHERE first.o < w.o),
+run AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS g
+  FROM (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS fresh FROM hit)) GROUP BY r, g),
+gap AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM run),
+cut AS (SELECT r, count(*) AS n, sum(z - a) AS removed, max(z) AS last,
+  string_agg(CASE WHEN a > p THEN hex(b[p + 1 : a]) ELSE '' END, '' ORDER BY a) AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE unhex(kept || CASE WHEN octet_length(b) > last THEN hex(b[last + 1 : octet_length(b)]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": op1_rendezvous_shards,
@@ -154,4 +226,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pivot_permutations": _op2_sql(), "op5_warc_round_trip": _op5_sql(), "op10_chat_examples": _op10_sql()}
+    return {
+        "op1_rendezvous_shards": _op1_sql(),
+        "op2_pivot_permutations": _op2_sql(),
+        "op5_warc_round_trip": _op5_sql(),
+        "op6_suffix_repetition": _op6_sql(),
+        "op9_suffix_dedup": _op9_sql(),
+        "op10_chat_examples": _op10_sql(),
+    }

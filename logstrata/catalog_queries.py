@@ -363,12 +363,18 @@ def kv_space_amp(s, d):
     return found.select(F.round("root_bytes", 3).alias("root_bytes"), F.round("leaf_bytes", 3).alias("leaf_bytes"), F.round("samp", 6).alias("samp"))
 
 
-@query(f"WITH {E1} SELECT true AS close FROM l HAVING count(*) > 0")
+@query(f"""WITH {E1} SELECT run_id, count(DISTINCT key) AS n, true AS close FROM l GROUP BY run_id
+UNION ALL SELECT -1, count(DISTINCT key), true FROM l""")
 def kv_hll_cardinality(s, d):
+    """Estimated keys of each run, and of all runs (-1) by merged sketches, against the exact numbers."""
     rows = log1(s, d)
-    merged = statistics.merge_distinct(statistics.distinct_keys(rows, "run_id"))
-    exact = rows.agg(F.countDistinct("key").alias("n"))
-    return merged.join(F.broadcast(exact)).select((F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+    sketches = statistics.distinct_keys(rows, "run_id")
+    whole = F.lit(-1).cast("long").alias("run_id")
+    estimates = sketches.select("run_id", "estimate").unionByName(statistics.merge_distinct(sketches).select(whole, "estimate"))
+    exact = F.countDistinct("key").alias("n")
+    counts = rows.groupBy("run_id").agg(exact).unionByName(rows.agg(exact).select(whole, "n"))
+    close = F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")
+    return counts.join(estimates, "run_id").select("run_id", "n", close.alias("close"))
 
 
 @query("SELECT event_type, floor(value / 10)::BIGINT AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
@@ -406,13 +412,22 @@ def kv_rmw(s, d):
     return visible(log1(s, d)).where("value > 50").select("key", F.round(F.col("value") * 2, 6).alias("value"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids, sum(event_id)::BIGINT AS total FROM events")
+@query("""WITH e AS (SELECT DISTINCT event_id FROM events)
+SELECT lpad(a.event_id::VARCHAR, 10, '0') AS key, coalesce(b.event_id, a.event_id) AS once, a.event_id AS twice
+FROM e a LEFT JOIN e b ON b.event_id = xor(a.event_id, 1)""")
 def kv_swap_verify(s, d):
-    """Swap records of neighbouring ids; the ids have to come out as they went in."""
-    rows = table(s, d, "events").select("event_id")
-    swapped = rows.select(F.col("event_id").alias("key"), F.expr("event_id ^ 1").alias("rid"))
-    back = swapped.select(F.expr("rid ^ 1").alias("rid"))
-    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rid").alias("ids"), F.sum("rid").alias("total"))
+    """Swap the records of neighbouring ids through the log, twice: once each has its neighbour's, then its own again."""
+    row = lambda id_, seqno, value: [
+        decimal_key(id_).alias("key"), F.lit(seqno).cast("long").alias("seqno"), F.lit(0).alias("ord"), F.lit("V").alias("vtype"), value.alias("value")
+    ]
+    log = table(s, d, "events").select("event_id").distinct().select(*row(F.col("event_id"), 1, F.col("event_id")))
+    for seqno in (2, 3):
+        held = reads.scan(log, seqno - 1, ordered=False).select(F.col("key").cast("long").alias("id"), "value")
+        other = held.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("value").alias("theirs"))
+        log = log.unionByName(held.join(other, "id").select(*row(F.col("id"), seqno, F.col("theirs"))))
+    seen = reads.multi_view(log, [2, 3])
+    value = lambda v: F.max(F.when(F.col("view") == v, F.col("value")))
+    return seen.groupBy("key").agg(value(2).alias("once"), value(3).alias("twice"))
 
 
 @query("""SELECT c_custkey % 4 AS grp, count(*) AS n, count(*) FILTER (c_custkey % 4 IN (1, 2)) AS live, round(coalesce(sum(CASE c_custkey % 4 WHEN 1 THEN c_acctbal + 1
@@ -433,23 +448,23 @@ def kv_lifecycle_quartiles(s, d):
     )
 
 
-@query("SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS key, o_totalprice AS value FROM orders WHERE o_orderkey BETWEEN 100 AND 500")
+@query("SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS key, o_totalprice AS value FROM orders")
 def kv_orders_store(s, d):
     o = table(s, d, "orders").select(
         decimal_key(F.col("o_orderkey")).alias("key"), F.lit(1).cast("long").alias("seqno"), F.lit(0).alias("ord"), F.lit("V").alias("vtype"), F.col("o_totalprice").alias("value")
     )
-    return reads.range_scan(o, f"{100:010d}", f"{500:010d}").select("key", "value")
+    return reads.scan(o).select("key", "value")
 
 
-@query("""SELECT lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 2, '0') AS key, max(l_quantity) AS value FROM lineitem
-WHERE l_orderkey BETWEEN 10 AND 19 GROUP BY 1""")
+@query("""SELECT lpad(l_orderkey::VARCHAR, 10, '0') AS prefix, lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 2, '0') AS key,
+  max(l_quantity) AS value FROM lineitem GROUP BY ALL""")
 def kv_lineitem_composite(s, d):
-    """All lines of orders under a nine-digit prefix of the segmented key."""
+    """All lines of every order, by the prefix of the segmented key that names it."""
     key = F.concat(decimal_key(F.col("l_orderkey")), decimal_key(F.col("l_linenumber"), 2))
     li = table(s, d, "lineitem").select(
         key.alias("key"), F.lit(1).cast("long").alias("seqno"), F.col("l_quantity").alias("ord"), F.lit("V").alias("vtype"), F.col("l_quantity").alias("value")
     )
-    return reads.prefix_scan(li, "000000001").select("key", "value")
+    return reads.scan(li, ordered=False).select(F.substring("key", 1, 10).alias("prefix"), "key", "value")
 
 
 @query(f"""{_COMMITTED}, g AS (SELECT * FROM c WHERE seqno > {HALF} AND seqno <= (SELECT max(event_id) - 500 FROM events))

@@ -24,7 +24,7 @@ def shared_root(spark: SparkSession) -> str:
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.jvm, self.gateway, self.root = spark._jvm, spark.sparkContext._gateway, root.rstrip("/")
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -47,16 +47,17 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Write beside and rename, so that a reader sees the old text or the new."""
+        """Write beside and rename over, in one step, so that a reader or a crash sees the old text or the new."""
         beside = self._path(f"{name}.new")
         stream = self.fs.create(beside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(beside, self._path(name)):
-            raise OSError(f"cannot write {self.root}/{name}")
+        fs = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(beside, self._path(name), over)
 
     def used(self, name: str = "") -> int:
         return self.fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0

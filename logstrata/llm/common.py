@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Edges whose components one task finds, 16 bytes each.
+EDGES_A_TASK = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -67,16 +72,43 @@ def number_within(df: DataFrame, key: str, block: Column, order: list[str], out:
     ).select(*df.columns, (F.col("_start") + F.col("_rank")).cast("long").alias(out))
 
 
+def component_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        # Each root hangs from the least root next to it, and all nodes from the end of their chain.
+        x, y = label[p], label[q]
+        new, low = label.copy(), np.minimum(x, y)
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _components_of_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [(x["u"].to_numpy(), x["v"].to_numpy()) for x in batches]
+    if parts:
+        nodes, roots = component_roots(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pd.DataFrame({"node": nodes, "root": roots})
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node of edges; root is the least node of its component.
+    """(node, root) for every node of edges, which are longs; root is the least node of its component.
 
-    Alternates large-star and small-star steps until only stars are left; each step writes its edges to the
-    shared folder. Minima are grouped with partial aggregation. A step joins few of them by a broadcast; otherwise both
+    Up to EDGES_A_TASK edges are joined in one task, as steps over small tables cost more than they do. Otherwise it alternates
+    large-star and small-star steps until so few edges or only stars are left; each step writes its edges to the shared folder. Minima are grouped with partial aggregation. A step joins few of them by a broadcast; otherwise both
     sides of its join come from tables, so that a hub with most of the edges can be split.
     """
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = materialize(links, "links")
     while True:
+        if links.count() <= EDGES_A_TASK:
+            return links.coalesce(1).mapInPandas(_components_of_all, "node long, root long")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(broadcast_if_small(least), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

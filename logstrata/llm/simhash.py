@@ -27,8 +27,11 @@ HELD = 1 << 16
 MATRIX = 64
 #: Rows of keys that one task makes.
 KEYS_A_TASK = 1_000_000
-#: Texts of one group that are compared in one task; larger groups are first cut down by hubs, then told apart by further bands.
+#: Texts that are compared as a matrix. One task compares all blocks of a group, up to so many blocks and shingles; only vast groups, with
+#: more, are first cut down by hubs, then told apart by further bands.
 CHECKED = 512
+BLOCKS = 8
+SHINGLES_A_TASK = 4_000_000
 HUB_ROUNDS = 4
 #: Edges that one hub's set of shingles is sent along with, on average.
 EDGES_A_HUB = 1024
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 
 
 def _components(fps: DataFrame, radius: int) -> DataFrame:
-    """fps: doc_id and fp, cheap to read. Adds component_id."""
+    """fps: doc_id, fp and any other columns, cheap to read. Adds component_id."""
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(near_links(classes, radius), "a", "b")
     rooted = materialize(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "root"), "rooted")
@@ -228,7 +231,7 @@ def _components(fps: DataFrame, radius: int) -> DataFrame:
     named = linked.join(broadcast_if_small(least, 400_000), "root").select("fp", "component_id")
     alone = rooted.where(F.col("root").isNull()).select("fp", F.col("first").alias("component_id"))
     named = materialize(named.unionByName(alone), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select(*fps.columns, "component_id")
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -238,22 +241,33 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], np.uint64))
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Matrix of which sets have at least this Jaccard similarity."""
-    size = np.array([len(x) for x in sets], np.float64)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    shared = np.zeros((len(sets), len(sets)))
+def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Matrix of which sets have at least this Jaccard similarity to which others."""
+    rows, columns = (np.array([len(x) for x in y], np.int64) for y in (sets, others))
+    p, q = (np.concatenate(y) if y else np.empty(0, np.uint64) for y in (sets, others))
+    # What only one side has is shared by no pair.
+    both = np.intersect1d(p, q)
+    shared = np.zeros((len(sets), len(others)))
+    at, owner = [], []
+    for x, size in ((p, rows), (q, columns)):
+        i = np.searchsorted(both, x)
+        found = np.append(both, 0)[i] == x if len(both) else np.zeros(len(x), bool)
+        found &= i < len(both)
+        i, own = i[found], np.repeat(np.arange(len(size)), size)[found]
+        order = np.argsort(i, kind="stable")
+        at.append(i[order])
+        owner.append(own[order])
     step = 4096
-    for a in range(0, int(ids[-1]) + 1 if len(ids) else 0, step):
-        i, j = np.searchsorted(ids, (a, a + step))
-        part = np.zeros((len(sets), step), np.float32)
-        part[owner[i:j], ids[i:j] - a] = 1
-        shared += part @ part.T
-    both = size[:, None] + size[None, :] - shared
-    return (both > 0) & (shared >= similarity * both - 1e-9)
+    for a in range(0, len(both), step):
+        sides = []
+        for i, own, n in zip(at, owner, (len(sets), len(others)), strict=True):
+            j, k = np.searchsorted(i, (a, a + step))
+            part = np.zeros((n, min(step, len(both) - a)), np.float32)
+            part[own[j:k], i[j:k] - a] = 1
+            sides.append(part)
+        shared += sides[0] @ sides[1].T
+    union = rows[:, None] + columns[None, :] - shared
+    return (union > 0) & (shared >= similarity * union - 1e-9)
 
 
 def _cross_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -262,16 +276,19 @@ def _cross_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -
     for i in range(0, len(sets), CHECKED):
         for j in range(i, len(sets), CHECKED):
             rows, columns = np.arange(i, min(i + CHECKED, len(sets))), np.arange(j, min(j + CHECKED, len(sets)))
-            both = rows if i == j else np.concatenate([rows, columns])
-            if (parent[both] == parent[both[0]]).all():
+            x, y = parent[rows], parent[columns]
+            # Rows that are one with all columns, and columns that are one with all rows, have nothing to find.
+            rows, columns = (rows[x != y[0]] if (y == y[0]).all() else rows), (columns[y != x[0]] if (x == x[0]).all() else columns)
+            if not len(rows) or not len(columns):
                 continue
-            near = similar_pairs([sets[x] for x in both], similarity) & (parent[both][:, None] != parent[both][None, :])
-            for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-                p, q = parent[both[x]], parent[both[y]]
+            near = similar_pairs([sets[x] for x in rows], [sets[x] for x in columns], similarity)
+            near &= parent[rows][:, None] != parent[columns][None, :]
+            for x, y in zip(*np.nonzero(near), strict=True):
+                p, q = parent[rows[x]], parent[columns[y]]
                 if p != q:
                     parent[parent == q] = p
-                    a.append(both[y])
-                    b.append(both[x])
+                    a.append(columns[y])
+                    b.append(rows[x])
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -354,14 +371,15 @@ def similar_texts(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int
     Texts meet in groups from two sources: components of covering tables over fingerprints of short shingles, which a changed word
     disturbs least, and bands of min-hashes of the `width`-word shingles, in one of which a pair at 0.8 meets in 99.99 % of cases.
     Sets of shingles decide, exactly: first each text is held against its group's hub, and what that joins is one from there on; then
-    what a group still has in several parts is compared across them. Returns h and k (see text_hashes), first (smallest doc_id of the
-    text, null if it has none) and component (a number).
+    what a group still has in several parts is compared across them. A band inside a component whose texts are all compared adds nothing
+    and is left out. Returns h and k (see text_hashes), first (smallest doc_id of the text, null if it has none) and component (a number).
     """
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, size long, bands array<long>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         fps = np.fromiter((_signed(fingerprint(t, shingle)) for t in texts), np.int64, len(texts))
-        return pd.DataFrame({"fp": fps, "bands": [band_keys(shingle_hashes(t, width)) for t in texts]})
+        sets = [shingle_hashes(t, width) for t in texts]
+        return pd.DataFrame({"fp": fps, "size": [len(x) for x in sets], "bands": [band_keys(x) for x in sets]})
 
     @F.pandas_udf("binary")
     def shingled(texts: pd.Series) -> pd.Series:
@@ -375,17 +393,23 @@ def similar_texts(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int
     sketches = docs.select(doc_id, *text_hashes(), sketched(text).alias("s"))
     texts = sketches.groupBy("h", "k").agg(F.min("doc_id").alias("first"), F.any_value("s").alias("s"))
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "h", "k", "first", "s.*"), "texts")
-    proposed = _components(texts.select(F.col("node").alias("doc_id"), "fp"), radius)
+    proposed = _components(texts.select(F.col("node").alias("doc_id"), "fp", "size", "bands"), radius).withColumnRenamed("doc_id", "node")
     group = ["band", "key"]
-    keys = texts.select("node", F.posexplode("bands").alias("band", "key")).unionByName(
-        proposed.select(F.col("doc_id").alias("node"), F.lit(-1).alias("band"), F.col("component_id").alias("key"))
-    )
+    own = F.array(F.struct(F.lit(-1).alias("band"), F.col("component_id").alias("key")))
+    banded = F.transform("bands", lambda x, i: F.struct(i.alias("band"), x.alias("key")))
+    keys = proposed.select("node", "size", "component_id", F.inline(F.concat(own, banded)))
     keys = materialize(keys, "keys")
-    shared = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"))
+    n, size = F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
+    vast = (F.col("n") > CHECKED) & ((F.col("n") > CHECKED * BLOCKS) | (F.col("size") > SHINGLES_A_TASK))
+    component = F.min("component_id").alias("c"), (F.min("component_id") < F.max("component_id")).alias("across")
+    shared = keys.groupBy(*group).agg(n, size, F.min("node").alias("b"), F.max("node").alias("a"), *component)
     shared = materialize(shared.where("n > 1"), "shared")
-    larger = materialize(shared.where("n > 2").select(*group, "b"), "larger")
-    members = materialize(keys.join(broadcast_if_small(larger, 400_000), group), "members")
-    edges = members.where("node <> b").select(F.col("node").alias("a"), "b").unionByName(shared.where("n = 2").select("a", "b"))
+    open_to = shared.where("band < 0").where(vast).select("c", F.lit(True).alias("vast"))
+    needed = shared.join(broadcast_if_small(open_to), "c", "left").where("band < 0 or across or vast")
+    needed = materialize(needed.select(*group, "n", "a", "b"), "needed")
+    larger = needed.where("n > 2").select(*group, "b")
+    members = materialize(keys.drop("component_id").join(broadcast_if_small(larger, 400_000), group), "members")
+    edges = members.where("node <> b").select(F.col("node").alias("a"), "b").unionByName(needed.where("n = 2").select("a", "b"))
     edges = materialize(edges.distinct(), "edges")
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     named = texts.join(ends, "node", "left_semi").select("node", "h", "k", "first")
@@ -395,30 +419,37 @@ def similar_texts(docs: DataFrame, radius: int = 6, shingle: int = 2, width: int
     sets = materialize(sets.select("node", shingled("text").alias("shingles")), "sets")
 
     links = materialize(verified(edges, sets, similarity), "links")
+    told = members.select(*group, "node", "size")
     for t in range(HUB_ROUNDS + 1):
-        labels = materialize(connected_components(links, "a", "b"), "labels")
-        told = members.select(*group, "node").join(labels, "node", "left").select(*group, "node", F.coalesce("root", "node").alias("label"))
+        roots = connected_components(links, "a", "b")
+        told = told.join(roots, "node", "left").select(*group, "node", "size", F.coalesce("root", "node").alias("label"))
+        told = materialize(told, "told")
         h = F.xxhash64("node")
         parts = told.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(h).alias("x"),
+            n, size, F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(h).alias("x"),
             F.sum(F.shiftright(h, 24)).alias("y"), F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(t), "node")).alias("hub"),
         )
-        # Groups with the same members, as bands of copies have them, are looked at once.
-        parts = parts.where("low < high").groupBy("n", "x", "y").agg(F.min(F.struct(*group, "hub")).alias("g"))
-        parts = materialize(parts.select("g.*", "n"), "parts")
-        wide = parts.where(F.col("n") > CHECKED)
-        if t == HUB_ROUNDS or wide.isEmpty():
+        # Groups with the same members, as bands of copies have them, are looked at once; those in one part are done with.
+        parts = parts.where("low < high").groupBy("n", "x", "y").agg(F.min(F.struct(*group, "size", "hub")).alias("g"))
+        parts = materialize(parts.select("n", "g.*").withColumn("vast", vast), "parts")
+        open_ = told.join(broadcast_if_small(parts.select(*group, "hub", "vast"), 400_000), group)
+        wide = not parts.where("vast").isEmpty()
+        if t == HUB_ROUNDS or not wide:
             break
-        met = told.join(broadcast_if_small(wide, 400_000), group).where("label <> hub.label")
+        met = open_.where("vast and label <> hub.label")
         more = materialize(met.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct(), "edges")
         links = materialize(links.unionByName(verified(more, sets, similarity)), "links")
+        told = open_.select(*group, "node", "size")
     columns = [*group, "sub", "at"]
-    spread = told.join(broadcast_if_small(parts.select(*group, "n"), 400_000), group).join(sets, "node")
-    whole = spread.where(F.col("n") <= CHECKED).withColumns({"sub": F.lit(0), "at": F.lit(0).cast("long")})
-    apart = spread.where(F.col("n") > CHECKED).select("*", F.posexplode(further("shingles")).alias("sub", "at"))
-    open_ = whole.unionByName(apart).select(*columns, "label", "node", "shingles")
-    open_ = open_.repartition(*columns).sortWithinPartitions(*columns, "label", "node")
-    found = open_.mapInPandas(lambda it: _cross_sorted(it, columns, similarity), "a long, b long")
+    compared = open_.where("not vast").select(*group, F.lit(0).alias("sub"), F.lit(0).cast("long").alias("at"), "node", "label")
+    if wide:
+        banded = open_.where("vast").join(sets, "node").select(*group, "node", "label", F.posexplode(further("shingles")).alias("sub", "at"))
+        banded = materialize(banded, "further")
+        several = banded.groupBy(*columns).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        compared = compared.unionByName(banded.join(broadcast_if_small(materialize(several.select(*columns), "several"), 400_000), columns))
+    compared = compared.join(sets, "node").select(*columns, "label", "node", "shingles")
+    compared = compared.repartition(*columns).sortWithinPartitions(*columns, "label", "node")
+    found = compared.mapInPandas(lambda it: _cross_sorted(it, columns, similarity), "a long, b long")
     roots = connected_components(links.unionByName(found), "a", "b").withColumnRenamed("node", "linked")
     named = texts.join(roots, F.col("node") == F.col("linked"), "left")
     return materialize(named.select("h", "k", "first", F.coalesce("root", "node").alias("component")), "told")

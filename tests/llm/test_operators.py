@@ -571,3 +571,53 @@ def test_isolated_pairs_of_similar_documents_are_found(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(found[i] == found[i + 1] == i for i in range(0, 400, 2)) >= 199
+
+
+def near_copies(rng, n, edits):
+    base = [f"v{rng.randrange(900)}" for _ in range(200)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.choice(edits)):
+            words[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_bands_inside_a_compared_component_add_no_rows(spark, monkeypatch):
+    df = spark.createDataFrame(near_copies(random.Random(5), 80, [1, 2]), "doc_id long, text string")
+    written, materialize = Counter(), simhash.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    assert {r["component_id"] for r in simhash.similar_documents(df).collect()} == {0}
+    assert written["members"] <= written["texts"] and written["edges"] < written["texts"]
+
+
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_groups_of_near_copies_in_many_parts_are_told_exactly(spark, monkeypatch, blocks):
+    monkeypatch.setattr(simhash, "CHECKED", 16)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
+    rows = near_copies(random.Random(6), 120, [2, 4, 6, 9])
+    sets = [simhash.shingle_hashes(t, 5) for _, t in rows]
+    near = [(a, b) for a in range(120) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    nodes, roots = common.component_roots(*np.array(near).T)
+    want = dict(enumerate(range(120))) | dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    assert 1 < len(set(want.values())) < 100
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("held", [0, 10, 2_000_000])
+def test_components_of_few_edges_need_one_table(spark, monkeypatch, held):
+    monkeypatch.setattr(common, "EDGES_A_TASK", held)
+    tables, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: tables.append(name) or materialize(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (70, 90), (5, 5), (99, 99)], "a long, b long")
+    found = {r["node"]: r["root"] for r in common.connected_components(links, "a", "b").collect()}
+    assert found == {i: 0 for i in range(41)} | {i: 70 for i in (70, 80, 90)}
+    assert held < 100 or tables == ["links"]
